@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from parleylake.llm import decontam
+from parleylake.llm import decontam, packing, secrets, simhash
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
+    "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op10_decontamination": decontam.op10_decontamination,
 }
 ORACLES = {"op10_decontamination": decontam.ORACLE}
