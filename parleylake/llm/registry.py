@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from parleylake.llm import decontam, packing, secrets, simhash
+from parleylake.llm import chat, decontam, embed_dedup, licenses, nbsvm, packing, reshard, secrets, simhash, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_preference_format": chat.op2_preference_format,
+    "op3_reshard": reshard.op3_reshard,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_warc": warc.op6_warc,
+    "op7_embedding_near_dedup": embed_dedup.op7_embedding_near_dedup,
+    "op8_license_scan": licenses.op8_license_scan,
+    "op9_quality_classifier": nbsvm.op9_quality_classifier,
     "op10_decontamination": decontam.op10_decontamination,
 }
-ORACLES = {"op10_decontamination": decontam.ORACLE}
+#: Of the others, results are held against brute-force versions in tests/llm.
+ORACLES = {"op2_preference_format": chat.ORACLE, "op7_embedding_near_dedup": embed_dedup.ORACLE, "op10_decontamination": decontam.ORACLE}
