@@ -70,7 +70,7 @@ class WarcWriter(DataSourceArrowWriter):
         system, root = _open(self.path)
         system.create_dir(root, recursive=True)
         name, records = f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gz, 0
-        with system.open_output_stream(f"{root}/{name}") as out:
+        with system.open_output_stream(f"{root}/{name}", compression=None) as out:
             for batch in iterator:
                 for row in batch.to_pylist():
                     held = record_bytes(row)
@@ -93,7 +93,7 @@ class WarcWriter(DataSourceArrowWriter):
 
 @dataclass
 class ArchiveFile(InputPartition):
-    file: str
+    file: str | None
 
 
 class WarcReader(DataSourceReader):
@@ -121,12 +121,14 @@ class WarcReader(DataSourceReader):
         else:  # archives of other writers
             found = system.get_file_info(fs.FileSelector(root, recursive=True))
             names = sorted(x.path.removeprefix(root).lstrip("/") for x in found if x.path.endswith((".warc", ".warc.gz")))
-        return [ArchiveFile(n) for n in names]
+        return [ArchiveFile(n) for n in names] or [ArchiveFile(None)]  # Spark wants a partition
 
     def _wanted(self, row: dict) -> bool:
         return all(row[c] is not None and (values is None or row[c] in values) for c, values in self.tests)
 
     def read(self, partition: ArchiveFile) -> Iterator[pa.RecordBatch]:
+        if partition.file is None:
+            return
         system, root = _open(self.path)
         with system.open_input_file(f"{root}/{partition.file}") as held:
             stream = gzip.GzipFile(fileobj=held) if partition.file.endswith(".gz") else held
