@@ -8,13 +8,14 @@ slots by joining on their rank within their length. Ranks are distributed: piece
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,9 @@ from pyspark.sql.window import Window
 from parleylake.llm._shared import materialize, table
 
 CAPACITY, END_ID = 1024, 2
-#: Encoded words that a worker remembers at most, and the longest that it remembers.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
-#: A space before a visible character begins a pre-token of the byte-level vocabulary in every context.
-CUT = re.compile(r"(?= \S)")
-ODD_SPACE = re.compile(r" (?!\S)")
+#: The pre-token pattern of byte-level vocabularies, and their bytes that are written as themselves.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
 def default_tokenizer() -> str:
@@ -39,42 +38,35 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
+    """Token ids of texts as little-endian unsigned 32-bit bytes, of a byte-level BPE vocabulary in a tokenizer's JSON file.
 
-    Texts are cut where a pre-token begins in every context, and each distinct stretch is encoded once.
-    Texts with an added token in them are encoded whole.
+    The merges run in tiktoken, several times as fast as in tokenizers and with the same ids (held in the
+    tests, for every code point); added tokens in a text are cut out first, as tokenizers does.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if any(token in text for token in self.added):
-                cut.append(None)
-            elif ODD_SPACE.search(text):
-                cut.append(CUT.split(text))
-            else:
-                head, *rest = text.split(" ")
-                cut.append([head, *[" " + w for w in rest]])
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({*chain.from_iterable(x for x in cut if x is not None)} - known.keys())
-        known.update(zip(new, self._raw(new), strict=True))
-        out = [b"".join(map(known.__getitem__, x)) if x is not None else self._raw([text])[0] for x, text in zip(cut, texts, strict=True)]
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del known[w]
-        return out
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        vocabulary, merges = held["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in held["model"]["merges"]]
+        others = iter(range(256, 512))
+        byte = {chr(b) if b in PLAIN_BYTES else chr(next(others)): b for b in range(256)}
+        self.added = {t["content"]: t["id"] for t in held["added_tokens"]}
+        own = {t: i for t, i in vocabulary.items() if t not in self.added}
+        ranks = {bytes(byte[c] for c in t): i for t, i in own.items()}
+        level = held["pre_tokenizer"] or {}
+        if level.get("type") != "ByteLevel" or level.get("add_prefix_space") or held["normalizer"] or sorted((own[a + b] for a, b in merges)) != [own[a + b] for a, b in merges]:
+            raise ValueError(f"{path}: not a byte-level BPE vocabulary whose ids are in merge order")
+        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+
+    def __call__(self, text: str) -> bytes:
+        encode = self.encoding.encode_ordinary
+        if not self.cut or not self.cut.search(text):
+            return array("I", encode(text)).tobytes()
+        parts = [array("I", [self.added[p]] if k % 2 else encode(p)) for k, p in enumerate(self.cut.split(text))]
+        return b"".join(p.tobytes() for p in parts)
 
 
 def encoder(path: str) -> Encoder:
@@ -97,12 +89,12 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
         ids, texts = batch.column("doc_id"), batch.column("text")
         for lo in range(0, batch.num_rows, 500):
             taken, rows = [], []
-            for k, held in enumerate(encode([t or "" for t in texts.slice(lo, 500).to_pylist()]), lo):
-                held += end
-                for p, (start, length) in enumerate(cut(len(held) // 4, capacity)):
-                    part = held[4 * start : 4 * (start + length)]
+            for k, text in enumerate(texts.slice(lo, 500).to_pylist(), lo):
+                held = encode(text or "") + end
+                for p, (first, n) in enumerate(cut(len(held) // 4, capacity)):
+                    part = held[4 * first : 4 * (first + n)]
                     taken.append(k)
-                    rows.append((p, start, length, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None))
+                    rows.append((p, first, n, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None))
             piece, start, length, crc, own = zip(*rows, strict=True)
             columns = [ids.take(pa.array(taken)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
