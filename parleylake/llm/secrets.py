@@ -150,11 +150,11 @@ def _masked(text: str | None, spans: list, mask: str) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, mask: str = "[SECRET]", length_col: str | None = None) -> DataFrame:
     """``docs`` with every owner-specific, live-looking credential replaced by ``mask``; widely copied examples stay.
 
     What to mask depends on a text and on the corpus only, so the spans are joined back by text (hash,
-    length and MD5), once per distinct text; null texts, repeated rows and other columns stay as they were.
+    length and MD5), once per distinct text; ``length_col``, if named, follows a masked text; null texts, repeated rows and other columns stay as they were.
     """
     key = F.struct(F.xxhash64(F.col(text_col)), F.octet_length(F.col(text_col)), F.md5(F.col(text_col)))
     owner = F.col("source") if owner is None else owner
@@ -168,7 +168,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
 
     rows = docs.withColumn("_key", key).join(found, "_key", "left")
     new = F.when(F.col("_live").isNotNull(), masked(F.col(text_col), F.col("_live"))).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, new).select(docs.columns)
+    rows = rows.withColumn(text_col, new)
+    if length_col:
+        rows = rows.withColumn(length_col, F.when(F.col("_live").isNotNull(), F.char_length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return rows.select(docs.columns)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
