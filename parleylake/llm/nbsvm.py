@@ -170,11 +170,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(text: Column, model: Model, spark: SparkSession) -> Column:
     """A column with the model's score of a text column (0 to 1; null texts count as empty)."""
-    held = spark.sparkContext.broadcast(model)  # two vectors of `dims` doubles
+    held = spark.sparkContext.broadcast((model.weight, model.square))  # two vectors of `dims` doubles
+    rest = (model.bias, model.slope, model.shift)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([held.value.score(t) for t in texts], dtype="float64")
+        own = Model(*held.value, *rest)
+        return pd.Series([own.score(t) for t in texts], dtype="float64")
 
     return scored(F.coalesce(text, F.lit("")))
 
