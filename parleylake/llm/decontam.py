@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parleylake.llm._shared import NON_WORD, ascii_lower, table, words_of
+from parleylake.llm._shared import table, words_of
 
 WINDOW = 10
 #: Up to so many distinct benchmark windows are broadcast (some 200 bytes each); beyond, the join shuffles.
@@ -105,16 +105,18 @@ def remove_documents(docs: DataFrame, items: DataFrame, n: int = WINDOW, text_co
     key = F.struct(F.xxhash64(F.col(text_col)), F.octet_length(F.col(text_col)), F.md5(F.col(text_col)))
     hits = find_hits(docs.select(key.alias("text_key"), F.col(text_col).alias("text")), windows, n)
     bad = hits.where(F.col("w_items").isNotNull()).select(F.col("text_key").alias("_bad_key")).distinct()
-    return docs.withColumn("_key", key).join(bad, F.col("_key") == F.col("_bad_key"), "left_anti").drop("_key")
+    rows = docs.select(F.struct("*").alias("_row"), key.alias("_key"))  # whole rows, so no column of theirs can clash
+    return rows.join(bad, F.col("_key") == F.col("_bad_key"), "left_anti").select("_row.*")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(``doc_id``, ``text``) with every hit word blanked out of the text; separators stay, null texts stay null."""
     found = scan(docs, items, n, id_col, text_col, item_col, item_text_col).where("contaminated").select("doc_id", "hit_spans").distinct()
-    parts = F.regexp_extract_all(F.col("text"), F.lit(f"{NON_WORD}|[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0))
+    gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the text still has its upper case
+    parts = F.regexp_extract_all(F.col("text"), F.lit(gap + "|" + gap.replace("[", "[^")), F.lit(0))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(found, "doc_id", "left")
     rows = rows.withColumn("_parts", F.when(F.col("hit_spans").isNotNull(), parts))
-    lead = F.when(F.col("_parts")[0].rlike(f"^{NON_WORD}"), 1).otherwise(0)
+    lead = F.when(F.col("_parts")[0].rlike(f"^{gap}"), 1).otherwise(0)
     inside = lambda i: F.exists("hit_spans", lambda s: (i >= s["start"]) & (i < s["end"]))
     blank = F.transform("_parts", lambda p, i: F.when(((i - lead) % 2 == 0) & inside(((i - lead) / 2).cast("int")), F.lit("")).otherwise(p))
     return rows.select("doc_id", F.when(F.col("hit_spans").isNotNull(), F.array_join(blank, "")).otherwise(F.col("text")).alias("text"))

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_decontamination": decontam.op10_decontamination,
 }
 #: Of the others, results are held against brute-force versions in tests/llm.
-ORACLES = {"op2_preference_format": chat.ORACLE, "op7_embedding_near_dedup": embed_dedup.ORACLE, "op10_decontamination": decontam.ORACLE}
+ORACLES = {"op2_preference_format": chat.ORACLE, "op6_warc": warc.ORACLE, "op7_embedding_near_dedup": embed_dedup.ORACLE, "op10_decontamination": decontam.ORACLE}

@@ -166,12 +166,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     def masked(texts, spans):
         return texts.combine(spans, lambda t, s: _masked(t, s, mask))
 
-    rows = docs.withColumn("_key", key).join(found, "_key", "left")
-    new = F.when(F.col("_live").isNotNull(), masked(F.col(text_col), F.col("_live"))).otherwise(F.col(text_col))
-    rows = rows.withColumn(text_col, new)
+    rows = docs.select(F.struct("*").alias("_row"), key.alias("_key")).join(found, "_key", "left")  # whole rows, so no column of theirs can clash
+    own, live = lambda c: F.col("_row").getField(c), F.col("_live").isNotNull()
+    rows = rows.withColumn("_new", F.when(live, masked(F.when(live, own(text_col)), F.col("_live"))).otherwise(own(text_col)))
+    changed = {text_col: F.col("_new")}
     if length_col:
-        rows = rows.withColumn(length_col, F.when(F.col("_live").isNotNull(), F.char_length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return rows.select(docs.columns)
+        changed[length_col] = F.when(live, F.char_length("_new").cast(docs.schema[length_col].dataType)).otherwise(own(length_col))
+    return rows.select([changed.get(c, own(c)).alias(c) for c in docs.columns])
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,3 +270,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         number("record_id").alias("page_id"), F.when(F.col("record_type") == "response", F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
         F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"), "target_uri",
     )
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages), t AS (SELECT s, max(page_id) AS top FROM p GROUP BY s)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(generate_series(0, 31), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(s, (j // 4) * 5 + 1, 5))::INTEGER >> (15 - 5 * (j % 4))::INTEGER) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to, url AS target_uri
+FROM p JOIN t USING (s)
+"""
