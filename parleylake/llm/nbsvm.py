@@ -84,17 +84,18 @@ def _rows(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.int32()))], ["label", "features"])
 
 
-def _descend(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarray, dims: int, cost: float, epochs: int) -> tuple[np.ndarray, float]:
-    """L1-loss dual coordinate descent with a constant bias feature of 1; the rows have length 1, so Q is 2."""
-    w, bias, alpha, rng = np.zeros(dims), 0.0, np.zeros(len(rows)), np.random.default_rng(SEED)
+def _descend(rows: list[np.ndarray], norms: np.ndarray, signs: np.ndarray, ratio: np.ndarray, cost: float, epochs: int) -> tuple[np.ndarray, float]:
+    """L1-loss dual coordinate descent with a constant bias feature of 1. A row's values are its ratios over its norm, taken when needed: the rows are held once."""
+    w, bias, alpha, rng = np.zeros(len(ratio)), 0.0, np.zeros(len(rows)), np.random.default_rng(SEED)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            q = float(values[i] @ values[i]) + 1
-            gradient = signs[i] * (float(w[rows[i]] @ values[i]) + bias) - 1
+            x, values = rows[i], ratio[rows[i]] / norms[i]
+            q = float(values @ values) + 1
+            gradient = signs[i] * (float(w[x] @ values) + bias) - 1
             new = min(max(alpha[i] - gradient / q, 0.0), cost)
             if new != alpha[i]:
                 step = (new - alpha[i]) * signs[i]
-                w[rows[i]] += step * values[i]
+                w[x] += step * values
                 bias += step
                 alpha[i] = new
     return w, bias
@@ -148,26 +149,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = [marks.where(F.col("label") == k).orderBy(order).limit(sample) for k in (0, 1)]
     picked = learn_from(picked[0].unionByName(picked[1])).mapInArrow(lambda b: _rows(b, dims), "label int, features array<int>").toArrow()
     marks.unpersist()
-    found = [np.asarray(x, np.int32) for x in picked.column("features").to_numpy()]
-    signs = picked.column("label").to_numpy() * 2.0 - 1
-    key = np.array([hash((len(x), int(x[:64].sum()), s)) for x, s in zip(found, signs, strict=True)])
-    place = np.argsort(key, kind="stable")  # the rows' order of arrival doesn't matter
-    found, signs = [found[i] for i in place], signs[place]
-    values = []
-    for x in found:
-        v = ratio[x]
-        values.append(v / (np.linalg.norm(v) or 1.0))
+    found, signs = _views(picked)
+    norms = np.array([np.linalg.norm(ratio[x]) or 1.0 for x in found])
     fold, margins = np.arange(len(found)) % 2, np.zeros(len(found))
     for k in (0, 1):
         own = np.flatnonzero(fold != k)
-        w, bias = _descend([found[i] for i in own], [values[i] for i in own], signs[own], dims, COST, EPOCHS)
+        w, bias = _descend([found[i] for i in own], norms[own], signs[own], ratio, COST, EPOCHS)
         for i in np.flatnonzero(fold == k):
-            margins[i] = w[found[i]] @ values[i] + bias
+            margins[i] = w[found[i]] @ ratio[found[i]] / norms[i] + bias
     slope, shift = _calibrate(margins, signs)
-    w, bias = _descend(found, values, signs, dims, COST, EPOCHS)
+    w, bias = _descend(found, norms, signs, ratio, COST, EPOCHS)
+    del found, picked
+    pa.default_memory_pool().release_unused()
     return Model(w * ratio, ratio * ratio, bias, slope, shift)
 
 
+def _views(picked: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """The rows' features as views of the table's own memory, and their signs, in an order that doesn't depend on their arrival."""
+    found: list[np.ndarray] = []
+    for chunk in picked.column("features").chunks:
+        flat, ends = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        found += [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    signs = picked.column("label").to_numpy() * 2.0 - 1
+    place = sorted(range(len(found)), key=lambda i: (len(found[i]), int(found[i][:64].sum()), signs[i], int(found[i][-64:].sum())))
+    return [found[i] for i in place], signs[place]
+
+
 def score(text: Column, model: Model, spark: SparkSession) -> Column:
     """A column with the model's score of a text column (0 to 1; null texts count as empty)."""
     held = spark.sparkContext.broadcast((model.weight, model.square))  # two vectors of `dims` doubles
