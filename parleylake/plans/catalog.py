@@ -123,7 +123,7 @@ def runs(spark, sf):
 def read_labels(spark, sf):
     path, rows = folder(spark), labels(spark, sf)
     one = F.to_json(F.struct(F.col("label_id").alias("id"), "query", F.col("expected_id").alias("expected_message_id"), "category", F.col("hard").alias("zero_word_overlap"), "pair_id", "language"))
-    rows.groupBy((F.col("query_id") % 64).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ",\n"), F.lit("]")).alias("value")).write.partitionBy("file").text(path)
+    rows.groupBy(F.floor(F.col("query_id") / 1000).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ",\n"), F.lit("]")).alias("value")).write.partitionBy("file").text(path)
     return io.read_labels(spark, path).drop("notes", "file")
 
 
