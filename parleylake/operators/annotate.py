@@ -216,7 +216,10 @@ def day_part(text: Column) -> Column:
 
 def type_request(query: Column) -> Column:
     """The message type that a question asks for, if it is one and clear."""
-    text = question_text(query)
+    return _type_in(question_text(query))
+
+
+def _type_in(text: Column) -> Column:
     kinds = [F.when(text.rlike(TYPE_ASKED + noun) | (text.rlike(TYPE_FORWARD) if kind == "forwarded" else F.lit(False)), F.lit(kind)) for kind, noun in TYPE_NOUNS.items()]
     kinds = F.array_compact(F.array(*kinds))
     return F.when(~text.rlike(TYPE_BLOCKED) & (F.size(kinds) == 1), F.try_element_at(kinds, F.lit(1)))
@@ -228,16 +231,19 @@ def interpret(queries: DataFrame, aliases: DataFrame, reference_date: str) -> Da
     Bounds come from the text without event dates; the intent and the listed warnings from the whole text.
     """
     rows = person_mentions(queries, aliases)
-    whole = _bounded(date_intervals(rows, "text", reference_date)).select("query_id", F.col("start").isNotNull().alias("dated"), F.col("warnings").alias("said"))
     rows = rows.withColumn("mode", person_role(F.col("marked"), F.col("person"))).withColumn("chat", without_event_dates(F.col("text")))
+    changed = F.col("chat") != F.col("text")  # the whole text is read again only where it differs
+    rows = _bounded(date_intervals(rows.withColumn("_whole", F.when(changed, F.col("text"))), "_whole", reference_date))
+    rows = rows.withColumns({"dated": F.col("start").isNotNull(), "said": F.col("warnings")}).drop("_whole", "start", "end", "warnings")
     rows = _bounded(date_intervals(rows, "chat", reference_date))
+    rows = rows.withColumns({"dated": F.when(changed, F.col("dated")).otherwise(F.col("start").isNotNull()), "said": F.when(changed, F.col("said")).otherwise(F.col("warnings"))})
     cut_start, cut_end = month_part(F.col("chat"), F.col("start"), F.col("end"))
     rows = rows.withColumns({"start": cut_start, "end": cut_end})
     clash = F.coalesce(F.col("start") > F.col("end"), F.lit(False))
     rows = rows.withColumn("warnings", F.when(clash, F.array_append("warnings", F.lit(MONTH_PART_CONFLICT))).otherwise(F.col("warnings")))
     sure = F.size("warnings") == 0
     rows = rows.withColumns({c: F.when(sure, F.col(c)) for c in ("start", "end")})
-    rows = rows.withColumn("hours", F.when(F.col("start").isNotNull(), day_part(F.col("chat")))).withColumn("message_type", type_request(F.col("query")))
+    rows = rows.withColumn("hours", F.when(F.col("start").isNotNull(), day_part(F.col("chat")))).withColumn("message_type", _type_in(F.col("text")))
     has_filter = (F.col("mode") == "filter") | F.col("start").isNotNull() | F.col("message_type").isNotNull()
     reasons = F.array_compact(F.array(
         F.when(F.col("mode") == "filter", F.lit("the person is the sender")), F.when(F.col("mode") == "bonus", F.lit("the person is named, in no clear role")),
@@ -245,7 +251,6 @@ def interpret(queries: DataFrame, aliases: DataFrame, reference_date: str) -> Da
         F.when(F.col("chat") != F.col("text"), F.lit("an event's date is not the message's")), F.when(F.col("start").isNotNull(), F.lit("messages outside the dates are excluded")),
         F.when(F.col("message_type").isNotNull(), F.lit("only messages of the type asked for")),
     ))
-    rows = rows.join(whole, "query_id")
     intent = F.concat(F.when(F.col("person").isNotNull(), "person_").otherwise(""), F.when(F.col("dated"), "time_").otherwise(""), F.lit("semantic"))
     return rows.select(
         "query_id", "query", "person", "mode", "start", "end", F.col("hours.lo").alias("hour_lo"), F.col("hours.hi").alias("hour_hi"), "message_type", has_filter.alias("has_filter"), intent.alias("intent"),

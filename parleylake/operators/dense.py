@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parleylake.functions.text import fold_accents, word_terms
-from parleylake.operators.lexical import check_k, top_k
+from parleylake.operators.lexical import best, check_k, top_k
 
 DIMS = 64
 #: Queries whose vectors one broadcast matrix holds; more are taken in blocks of so many.
@@ -21,9 +21,20 @@ def hashed_vector(text: Column, dims: int = DIMS) -> Column:
     """Signed hashing of words and word pairs into ``dims`` sums, of length 1 (zero without words). It carries no meaning: a stand-in for a caller's encoder."""
     terms = word_terms(fold_accents(F.coalesce(text, F.lit(""))))
     hashed = F.transform(terms, lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int"))
-    slots = F.transform(hashed, lambda h: F.struct((h % dims).alias("at"), F.when(F.floor(h / dims) % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
-    sums = F.aggregate(slots, F.array_repeat(F.lit(0.0), dims), lambda acc, s: F.transform(acc, lambda x, i: F.when(s["at"] == i, x + s["sign"]).otherwise(x)))
-    return unit(sums)
+
+    def sums(hashes: pa.Array) -> pa.Array:
+        return _signed_sums(hashes, dims)
+
+    return unit(F.arrow_udf(sums, "array<double>")(hashed))
+
+
+def _signed_sums(hashes: pa.Array, dims: int) -> pa.Array:
+    """Of each row's hashes, the remainder says which sum and the rest the sign; one pass over an Arrow batch."""
+    sizes = hashes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = hashes.flatten().to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    sums = np.bincount(rows * dims + flat % dims, weights=1.0 - 2.0 * (flat // dims % 2), minlength=len(sizes) * dims)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * dims), pa.array(sums))
 
 
 def length(vector: Column) -> Column:
@@ -87,11 +98,7 @@ def _products(batches: Iterator[pa.RecordBatch], block, key: str, name: str, low
             part = batch.slice(lo, 2048)
             scores = np.clip(np.array(part.column("vector").to_pylist(), float) @ matrix.T, low, high)
             keys = part.column(key)
-            if keep is None or keep >= len(scores):
-                at, of = np.indices(scores.shape).reshape(2, -1)
-            else:  # all that reach the score of the place `keep`, so ties are left to the ranking
-                rounded = np.round(scores, 9)
-                at, of = np.nonzero(rounded >= -np.partition(-rounded, keep - 1, axis=0)[keep - 1])
+            at, of = best(scores, keep)
             yield pa.RecordBatch.from_arrays([pa.array(ids[of]), keys.take(pa.array(at)), pa.array(scores[at, of])], ["query_id", key, name])
 
 

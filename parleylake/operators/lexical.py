@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,13 +14,24 @@ from parleylake.functions.text import char_terms, fold_accents, word_terms
 
 #: The channels' shares of a score.
 SHARES = {"word": 0.7, "char": 0.3}
+#: Up to so many terms of all queries together are broadcast; more are joined with the postings.
+QUERY_TERMS = 500_000
+#: Products that one step holds.
+STEP = 4_000_000
 
 
 def counts(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(``key``, ``channel``, ``term``, ``n``): how often a text has a term."""
-    folded = rows.select(key, fold_accents(F.coalesce(F.col(text), F.lit(""))).alias("folded"))
-    both = F.array(F.struct(F.lit("word").alias("channel"), word_terms(F.col("folded")).alias("terms")), F.struct(F.lit("char").alias("channel"), char_terms(F.col("folded")).alias("terms")))
-    return folded.select(key, F.inline(both)).select(key, "channel", F.explode("terms").alias("term")).groupBy(key, "channel", "term").agg(F.count("*").alias("n"))
+    """(``key``, ``channel``, ``term``, ``n``): how often a text has a term.
+
+    Texts move once, by key, and both channels are counted where they are. Character n-grams are taken from
+    a text's distinct words, as often as each word stands there.
+    """
+    folded = rows.select(key, fold_accents(F.coalesce(F.col(text), F.lit(""))).alias("folded")).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    found = folded.select(key, F.explode(word_terms(F.col("folded"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    tokens = folded.select(key, F.explode(F.split("folded", r"\s+")).alias("token")).groupBy(key, "token").agg(F.count("*").alias("times"))
+    grams = tokens.select(key, "times", F.explode(char_terms(F.col("token"))).alias("term")).groupBy(key, "term").agg(F.sum("times").alias("n"))
+    columns = lambda part, channel: part.select(key, F.lit(channel).alias("channel"), "term", "n")
+    return columns(found, "word").unionByName(columns(grams, "char"))
 
 
 def document_frequency(rows: DataFrame, own: DataFrame) -> DataFrame:
@@ -44,11 +59,61 @@ def tfidf_query(queries: DataFrame, idf: DataFrame) -> DataFrame:
     return _weighted(counts(queries, "query_id", "query"), idf, "query_id")
 
 
-def lexical_score(query_weights: DataFrame, postings: DataFrame, key: str = "id") -> DataFrame:
-    """(``query_id``, ``key``, ``lexical``): both channels' cosines by their shares; an empty channel adds nothing."""
-    share = F.when(F.col("channel") == "word", SHARES["word"]).otherwise(SHARES["char"])
-    met = query_weights.withColumnRenamed("weight", "qw").join(postings, ["channel", "term"])
-    return met.groupBy("query_id", key).agg(F.sum(F.col("qw") * F.col("weight") * share).alias("lexical"))
+def lexical_score(query_weights: DataFrame, postings: DataFrame, key: str = "id", keep: int | None = None) -> DataFrame:
+    """(``query_id``, ``key``, ``lexical``): both channels' cosines by their shares; an empty channel adds nothing.
+
+    Postings of the queries' terms are brought together by key and multiplied with the queries' weights, many
+    texts at a time; queries with more than ``QUERY_TERMS`` terms together are joined with the postings instead.
+    With ``keep``, each step gives its best ``keep`` a query only.
+    """
+    spark = postings.sparkSession
+    held = query_weights.select("query_id", "channel", "term", "weight").limit(QUERY_TERMS + 1).toArrow()
+    if held.num_rows > QUERY_TERMS:
+        share = F.when(F.col("channel") == "word", SHARES["word"]).otherwise(SHARES["char"])
+        met = query_weights.withColumnRenamed("weight", "qw").join(postings, ["channel", "term"])
+        return met.groupBy("query_id", key).agg(F.sum(F.col("qw") * F.col("weight") * share).alias("lexical"))
+    rows = held.to_pandas()
+    rows["t"] = rows.groupby(["channel", "term"]).ngroup()
+    rows["at"] = rows.groupby("query_id").ngroup()
+    rows = rows.sort_values(["t", "at"])
+    terms = rows[["channel", "term", "t"]].drop_duplicates()
+    begins = np.searchsorted(rows["t"].to_numpy(), np.arange(len(terms) + 1))
+    weights = rows["weight"].to_numpy(float) * rows["channel"].map(SHARES).to_numpy(float)
+    asked = spark.sparkContext.broadcast((np.unique(rows["query_id"].to_numpy(np.int64)), begins, rows["at"].to_numpy(np.int64), weights))
+    vocabulary = spark.createDataFrame(pa.table([pa.array(terms[c], t) for c, t in (("channel", pa.string()), ("term", pa.string()), ("t", pa.int64()))], ["channel", "term", "t"]))
+    met = postings.join(F.broadcast(vocabulary), ["channel", "term"]).groupBy(key).agg(F.collect_list(F.struct("t", "weight")).alias("terms"))
+    schema = f"query_id long, {key} {postings.schema[key].dataType.simpleString()}, lexical double"
+    return met.mapInArrow(lambda batches: _sparse_products(batches, asked.value, key, keep), schema)
+
+
+def _sparse_products(batches: Iterator[pa.RecordBatch], asked, key: str, keep: int | None) -> Iterator[pa.RecordBatch]:
+    ids, begins, columns, weights = asked
+    for batch in batches:
+        lists = batch.column("terms")
+        sizes = lists.value_lengths().to_numpy()
+        t, w = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        counts = begins[t + 1] - begins[t]
+        cost = np.bincount(text, weights=counts, minlength=len(sizes)) + len(ids)
+        step = (np.cumsum(cost) // STEP).astype(int)  # texts of one step lie together
+        for lo, hi in zip(*(np.searchsorted(step, np.unique(step), side) for side in ("left", "right"))):
+            a, b = np.searchsorted(text, [lo, hi])
+            n = counts[a:b]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins[t[a:b]], n)
+            cells = np.repeat(text[a:b] - lo, n) * len(ids) + columns[place]
+            scores = np.bincount(cells, weights=weights[place] * np.repeat(w[a:b], n), minlength=(hi - lo) * len(ids)).reshape(hi - lo, len(ids))
+            at, of = best(scores, keep)
+            positive = scores[at, of] > 0
+            at, of = at[positive], of[positive]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[of]), batch.column(key).take(pa.array(at + lo)), pa.array(scores[at, of])], ["query_id", key, "lexical"])
+
+
+def best(scores: np.ndarray, keep: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the cells that can be among a column's ``keep`` best: all that reach the score of that place, so ties are left to the ranking."""
+    if keep is None or keep >= len(scores):
+        return tuple(np.indices(scores.shape).reshape(2, -1))
+    rounded = np.round(scores, 9)
+    return np.nonzero(rounded >= -np.partition(-rounded, keep - 1, axis=0)[keep - 1])
 
 
 def check_k(k: int) -> int:
@@ -65,7 +130,7 @@ def top_k(scores: DataFrame, score: str, key: str, k: int, query: str = "query_i
 
 def lexical_topk(queries: DataFrame, postings: DataFrame, idf: DataFrame, k: int = 5, key: str = "id") -> DataFrame:
     """Hits with positive scores; blank and unknown queries have none."""
-    scores = lexical_score(tfidf_query(queries, idf), postings, key)
+    scores = lexical_score(tfidf_query(queries, idf), postings, key, check_k(k))
     return top_k(scores.where(F.round("lexical", 9) > 0), "lexical", key, k)
 
 

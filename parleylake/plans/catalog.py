@@ -42,6 +42,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows over all cores if its files have fewer splits than there are cores; larger tables aren't moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def md5_of(array: str, separator: str = "|") -> F.Column:
     return F.md5(F.array_join(array, separator))
 
@@ -304,7 +310,7 @@ def truncate_tokens(spark, sf):
 
 
 def asked(spark, sf):
-    return views.questions(spark, sf)
+    return spread(views.questions(spark, sf))
 
 
 def aliases(spark, sf):
@@ -585,7 +591,7 @@ def signals(spark, sf):
     """All channels of every question and message, in one written table that the profiles share."""
     m, q, c = views.messages(spark, sf), asks(spark, sf), written(constraints(spark, sf))
     vectors = q.select("query_id", dense.hashed_vector(F.col("query")).alias("vector"))
-    own = written(m.select("id", dense.hashed_vector(F.col("text")).alias("vector")))
+    own = written(spread(m).select("id", dense.hashed_vector(F.col("text")).alias("vector")))
     around = written(context.fit_budget(contexts(spark, sf), 1_000_000).select("id", dense.hashed_vector(F.col("fitted")).alias("vector")))
     semantic = dense.dense_scores(vectors, own, "id", "string", "semantic", 0.0, 1.0)
     contextual = dense.dense_scores(vectors, around, "id", "string", "contextual", 0.0, 1.0)
