@@ -80,9 +80,10 @@ def _deltas(measured: DataFrame, candidate: str) -> DataFrame:
 def compare_all(rows: DataFrame, candidate: str = "hybrid", required: list[str] = METHODS) -> DataFrame:
     """``compare_methods`` of the candidate with each other method; exactly the required methods must be there."""
     held = rows.select("method").distinct().agg(F.array_sort(F.collect_set("method")).alias("m"))
-    ok = F.col("m") == F.lit(sorted(required))
-    guard = held.select(F.when(ok, True).otherwise(F.raise_error(F.lit(f"needed: {required}")).cast("boolean")).alias("ok"))
-    return _deltas(metrics(rows), candidate).crossJoin(F.broadcast(guard)).where("ok").drop("ok")  # one row
+    fails = F.when(F.col("m") == F.lit(sorted(required)), F.lit(False)).otherwise(F.raise_error(F.lit(f"needed: {required}")).cast("boolean"))
+    deltas = _deltas(metrics(rows), candidate)
+    guard = held.where(fails).select([F.lit(None).cast(f.dataType).alias(f.name) for f in deltas.schema])
+    return deltas.unionByName(guard)  # no rows or an error: a branch of its own runs even if there is nothing to compare
 
 
 def comparison_table(measured: DataFrame, by: str = "method") -> DataFrame:
