@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from parleylake.llm import nbsvm, secrets
+from parleylake.llm import nbsvm, secrets, simhash
 from tests.llm import test_operators as brute
 from tests.llm.fixtures import documents, empty, table
 
@@ -59,3 +59,27 @@ def test_registered(spark):
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op")}
+
+
+def _sets(text):
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_by_the_general_rule_go(spark, sf):
+    """Five-word shingles at 0.8 by brute force, joined with op4's links, on whole documents and on a group too large for all pairs."""
+    words = [f"w{k}" for k in range(120)]
+    copies = [(10**6 + k, " ".join([*words[:40], f"copy{k}", *words[41:]])) for k in range(3 * simhash.FEW)]
+    texts = sorted(table(sf, "documents", "doc_id, text")) + copies
+    sets, near = [_sets(t) for _, t in texts], []
+    for a in range(len(texts)):
+        for b in range(a):
+            least, most = sorted((len(sets[a]), len(sets[b])))
+            if least and least / most >= 0.8 and (both := len(sets[a] & sets[b])) / (least + most - both) >= 0.8:
+                near.append((b, a))
+    prints = [brute.slow_print(t) for _, t in texts]
+    bits = [(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3]
+    roots = brute.roots(len(texts), near + bits)
+    want = {min(i for (i, _), r in zip(texts, roots, strict=True) if r == root) for root in set(roots)}
+    got = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == want and len(want) < len(set(brute.slow_groups([(i, p) for (i, _), p in zip(texts, prints, strict=True)])))
