@@ -83,3 +83,9 @@ def test_near_copies_by_the_general_rule_go(spark, sf):
     want = {min(i for (i, _), r in zip(texts, roots, strict=True) if r == root) for root in set(roots)}
     got = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == want and len(want) < len(set(brute.slow_groups([(i, p) for (i, _), p in zip(texts, prints, strict=True)])))
+
+
+def test_texts_of_several_groups_under_one_id_stay(spark):
+    fox, wolf = (" ".join(f"{x}{k}" for k in range(40)) for x in ("fox", "wolf"))
+    docs = spark.createDataFrame([(1, fox), (1, wolf), (1, wolf), (2, fox), (3, wolf + " end")], "doc_id long, text string")
+    assert sorted(simhash.deduplicate(docs).collect()) == [(1, fox), (1, wolf)]
