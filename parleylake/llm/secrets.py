@@ -96,7 +96,7 @@ def find_candidates(docs: DataFrame, id_col: str, text_col: str, owner: Column,
 
 
 def ownership(scanned: DataFrame, example_repos: int = EXAMPLE_REPOS, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """Per candidate hash: ``n_repos``, ``n_owners`` and ``example`` (widely copied or not).
+    """Per candidate hash: ``n_repos``, ``n_owners`` and ``example`` (widely copied or not; what one owner has is not, in however many repositories).
 
     A hash that a third of the rows carry costs one row per task and distinct owner before the shuffle.
     """
@@ -104,7 +104,7 @@ def ownership(scanned: DataFrame, example_repos: int = EXAMPLE_REPOS, example_ow
     return (
         seen.groupBy("hash")
         .agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
-        .withColumn("example", (F.col("n_repos") >= example_repos) | (F.col("n_owners") >= example_owners))
+        .withColumn("example", (F.col("n_owners") >= example_owners) | (F.col("n_owners") > 1) & (F.col("n_repos") >= example_repos))
     )
 
 
