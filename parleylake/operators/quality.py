@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,21 +84,71 @@ def variety_checks(records: DataFrame, topics: list[str]) -> DataFrame:
     return records.agg(F.array(*[F.struct(F.lit(k).alias("rule"), F.coalesce(v, F.lit(False)).alias("ok")) for k, v in checks.items()]).alias("all")).select(F.inline("all"))
 
 
+#: Ids that one row of a thread's joined ids holds.
+PIECE = 16_384
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Sorted (``thread_id``, ``id``) to rows of joined ids, numbered within the range that the task reads."""
+    part, seq, thread, held = TaskContext.get().partitionId(), 0, None, []
+    names = ["thread_id", "part", "seq", "ids"]
+    row = lambda: pa.RecordBatch.from_pylist([dict(zip(names, (thread, part, seq, ",".join(held)), strict=True))], pa.schema(zip(names, (pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True)))
+    for batch in batches:
+        for of, own in zip(batch.column("thread_id").to_pylist(), batch.column("id").to_pylist(), strict=True):
+            if held and (of != thread or len(held) >= size):
+                yield row()
+                seq, held = seq + 1, []
+            thread = of
+            held.append(own)
+    if held:
+        yield row()
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces by thread and order to one MD5 a thread, a piece at a time."""
+    thread, state = None, None
+    row = lambda: pa.RecordBatch.from_pydict({"of_ids": [thread], "ids_md5": [state.hexdigest()]})
+    for batch in batches:
+        for of, ids in zip(batch.column("thread_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            if state is not None and of == thread:
+                state.update(b",")
+            else:
+                if state is not None:
+                    yield row()
+                thread, state = of, hashlib.md5()
+            state.update(ids.encode())
+    if state is not None:
+        yield row()
+
+
+def ordered_digest(records: DataFrame, size: int = PIECE) -> DataFrame:
+    """(``of_ids``, ``ids_md5``): the MD5 of each thread's ids by (ts, id), joined with commas; null ids are left out.
+
+    Ranges of (thread, ts, id) sort and join the ids in pieces, however long a thread is. An MD5 can't be
+    split, so a thread's pieces pass one task in order; it holds a batch of pieces, never a whole thread.
+    """
+    rows = records.where(F.col("thread_id").isNotNull() & F.col("id").isNotNull()).select(F.col("thread_id").cast("string"), "ts", F.col("id").cast("string"))
+    order = ["thread_id", "ts", "id"]
+    pieces = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("thread_id", "id").mapInArrow(lambda b: _pieces(b, size), "thread_id string, part int, seq long, ids string")
+    return pieces.repartition("thread_id").sortWithinPartitions("thread_id", "part", "seq").select("thread_id", "ids").mapInArrow(_digests, "of_ids string, ids_md5 string")
+
+
 def thread_audit(records: DataFrame, zone: str = "UTC") -> DataFrame:
-    """Per thread: counts, ends, ordered ids, distinct episodes, days and senders, span, and whether others talk in between."""
+    """Per thread: counts, ends, digest of the ordered ids, distinct episodes, days and senders, span, and whether others talk in between."""
     day, _ = local_time(F.col("ts"), zone)
     key = F.struct("ts", "id")
     threads = records.where(F.col("thread_id").isNotNull()).groupBy("thread_id").agg(
         F.count("*").alias("n"), F.min_by("id", key).alias("first_id"), F.max_by("id", key).alias("last_id"), F.min("ts").alias("start"), F.max("ts").alias("end"),
-        F.transform(F.array_sort(F.collect_list(key)), lambda s: s["id"]).alias("ids"), F.count_distinct("episode_id").alias("episodes"), F.count_distinct(day).alias("days"), F.count_distinct("sender").alias("senders"),
+        F.count_distinct("episode_id").alias("episodes"), F.count_distinct(day).alias("days"), F.count_distinct("sender").alias("senders"),
     )
     # a row for each thread that the metadata names, against every message
     ends = threads.select(F.col("thread_id").alias("of"), "start", "end")
     others = records.select("ts", F.col("thread_id").alias("own")).join(F.broadcast(ends), (F.col("ts") > F.col("start")) & (F.col("ts") < F.col("end")) & ~F.col("own").eqNullSafe(F.col("of")), "inner")
     foreign = others.groupBy("of").agg(F.count("*").alias("foreign"))
-    joined = threads.join(foreign, threads["thread_id"] == foreign["of"], "left")
+    digests = ordered_digest(records)
+    joined = threads.join(foreign, threads["thread_id"] == foreign["of"], "left").join(digests, threads["thread_id"] == digests["of_ids"], "left")
     return joined.select(
-        "thread_id", "n", "first_id", "last_id", F.md5(F.array_join("ids", ",")).alias("ids_md5"), "episodes", "days", "senders",
+        "thread_id", "n", "first_id", "last_id", F.coalesce("ids_md5", F.md5(F.lit(""))).alias("ids_md5"), "episodes", "days", "senders",
         (F.unix_timestamp("end") - F.unix_timestamp("start") >= 14 * 86400).alias("two_weeks"), F.coalesce("foreign", F.lit(0)).alias("foreign"),
     )
 

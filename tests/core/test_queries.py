@@ -58,3 +58,21 @@ def test_windows_are_never_global(spark):
         assert "SinglePartition" not in plan, name
     ranked = catalog.QUERIES["lexical_topk"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in ranked
+
+
+def test_threads_are_never_held_whole(spark):
+    """The ids of a thread are joined in pieces: no array of them, and pieces of any size give the same digest."""
+    import hashlib
+
+    from parleylake.operators import quality
+    from parleylake.plans import views
+
+    plan = catalog.QUERIES["thread_audit"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+    records = views.records(spark, SMALL)
+    threads = {}
+    for r in sorted(records.where("thread_id is not null").select("thread_id", "ts", "id").collect()):
+        threads.setdefault(r["thread_id"], []).append(r["id"])
+    want = {t: hashlib.md5(",".join(ids).encode()).hexdigest() for t, ids in threads.items()}
+    for size in (1, 7, quality.PIECE):
+        assert {r["of_ids"]: r["ids_md5"] for r in quality.ordered_digest(records.repartition(5), size).collect()} == want
