@@ -406,6 +406,51 @@ def test_embedding_recall_and_blocks(spark):
     assert all((whole[i]["n_links"], whole[i]["component_id"]) == (want[i], found[i]) for i in range(len(data)))
 
 
+def links_of(data):
+    unit = np.asarray(data, float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    return linked.sum(axis=1), roots(len(unit), zip(*np.nonzero(linked), strict=True))
+
+
+@pytest.mark.parametrize(("per_cell", "block"), [(10**6, 1_024), (10**6, 1), (10**6, 3), (9, 1_024), (9, 2)])
+def test_embedding_components_of_bipartite_links(spark, per_cell, block):
+    """Lone pairs, paths, stars and even cycles in one block, across blocks, and across cells (each vector in all three of them)."""
+    turn = lambda *degrees: [(np.cos(np.radians(d)), np.sin(np.radians(d))) for d in degrees]
+    shapes = [np.array(turn(0, 10)), np.array(turn(0, 20, 40)), np.array(turn(*range(0, 360, 20))), np.vstack([np.eye(5)[0], *(np.eye(5)[0] + 0.46 * np.eye(5)[k] for k in range(1, 5))])]
+    data, at = np.zeros((sum(map(len, shapes)), sum(x.shape[1] for x in shapes))), 0
+    for row, x in zip(np.cumsum([0, *map(len, shapes[:-1])]), shapes, strict=True):
+        data[row : row + len(x), at : at + x.shape[1]] = x
+        at += x.shape[1]
+    counts, found = links_of(data)
+    assert len(set(found)) == len(shapes) and sorted(counts.tolist()) == [1] * 8 + [2] * 19 + [4]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_duplicates(df, per_cell=per_cell, block=block).collect()}
+    assert got == {i: (counts[i], found[i], found[i] == i) for i in range(len(data))}
+
+
+def test_embedding_cells_are_cut_again(spark, tmp_path):
+    """Cells of several levels, and a clump whose vectors all link: the rows of brute force, and of the SQL."""
+    rng = np.random.default_rng(6)
+    spread = np.repeat(rng.normal(size=(150, 16)), 2, axis=0) + rng.normal(size=(300, 16)) * 0.1
+    clump = rng.normal(size=(1, 16)) + rng.normal(size=(150, 16)) * 0.05
+    data = np.concatenate([spread, clump])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    counts, found = links_of(data)
+    got = rows(embed_dedup.near_duplicates(df, per_cell=6, block=32, max_cells=3, sample=128))
+    assert sum(n for _, n, _, _ in got) >= 0.95 * counts.sum() and all(n <= counts[i] for i, n, _, _ in got)
+    clumped = {i: (n, c) for i, n, c, _ in got if i >= len(spread)}
+    assert len({c for _, c in clumped.values()}) == 1 and all(n >= len(clump) - 1 for n, _ in clumped.values())
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    whole = sorted(rows(embed_dedup.op7_embedding_near_dedup(spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept")))
+    assert whole == sorted(con.execute(embed_dedup.ORACLE).fetchall()) == [(i, counts[i], found[i], found[i] == i) for i in range(len(data))]
+
+
 def test_embedding_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
     data = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (None, [0.0, 1.0]), (9, [1.0]), (10, [1e-30, 1e-30]), (11, [1e30, 1e30])]
