@@ -2,18 +2,18 @@
 
 An Arrow pass hashes every rolling word k-gram of every whole text; Spark joins the hashes to the
 positions of the template k-grams (a fixed, small side). Each match votes for the diagonal
-``document position - template position``. Votes are counted per (document, template, diagonal),
-neighbouring diagonals are merged (a word more or less shifts the rest), and what holds enough of a
-template is verified against the text's own words.
+``document position - template position``. Votes are counted per (document, template, diagonal), and
+each voted diagonal is merged with those up to ``NEIGHBOURS`` after it (a word more or less shifts the
+rest): a band, which never grows beyond that, however often a text repeats itself. Bands with enough
+votes are verified, each in full, against the text's own words.
 
-A phrase is a template that must stand whole on one diagonal. A notice is a longer template of which
-``COVERAGE`` suffices.
+A phrase is a template that must stand whole on one diagonal. A notice is a longer template: a band
+needs ``VOTES`` of its k-grams, then ``COVERAGE`` of its words, each on one of the band's diagonals.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from itertools import repeat
 
 import numpy as np
@@ -27,6 +27,8 @@ from parleylake.llm._shared import materialize, table
 
 K, SEED = 3, 42
 COVERAGE, NEIGHBOURS = 0.6, 3
+#: Share of a notice's k-grams that a band needs to be verified: a notice with every fourth word changed has a quarter of them and three quarters of its words.
+VOTES = 0.2
 #: Up to so many distinct texts to verify are named in a broadcast (some 200 bytes each); beyond, the join shuffles.
 MAX_BROADCAST_TEXTS = 200_000
 
@@ -88,50 +90,55 @@ def _rolled(batches: Iterator[pa.RecordBatch], step: int = 200) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in names), pa.array(np.concatenate(at)), pa.array(np.concatenate(gram))], [*names, "at", "gram"])
 
 
-def votes(docs: DataFrame, positions: DataFrame, sizes: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """Per row of ``docs`` (``row_id``, ``doc_id``, ``key_a``, ``key_b``, ``text``): ``n_words`` and candidate ``spans``."""
+def votes(docs: DataFrame, positions: DataFrame, sizes: DataFrame, share: float = VOTES) -> DataFrame:
+    """Per row of ``docs`` (``row_id``, ``doc_id``, ``key_a``, ``key_b``, ``text``): ``n_words`` and candidate ``bands`` (template, diagonals)."""
     schema = f"row_id long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, key_a long, key_b long, at int, gram long"
     rolled = docs.mapInArrow(_rolled, schema)
     matched = rolled.join(F.broadcast(positions), "gram", "left").where(F.col("template").isNotNull() | (F.col("at") < 0))
     matched = matched.withColumn("template", F.when(F.col("at") >= 0, F.col("template")))
     keys = ["row_id", "doc_id", "key_a", "key_b"]
     diagonal = F.when(F.col("template").isNotNull(), F.col("at") - F.col("t_at"))
-    voted = matched.groupBy(*keys, "template", diagonal.alias("diagonal")).agg(
-        F.count_distinct("t_at").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.max(F.when(F.col("at") < 0, F.col("gram"))).alias("n_words")
-    )
-    along = Window.partitionBy(*keys, "template").orderBy("diagonal")
-    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > F.when(F.col("exact"), 0).otherwise(NEIGHBOURS), F.lit(True))
-    merged = (
-        voted.join(F.broadcast(sizes), "template", "left")
-        .withColumn("far", far.cast("int")).withColumn("run", F.sum("far").over(along))
-        .groupBy(*keys, "template", "size", "exact", "run")
-        .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n_words").alias("n_words"))
-    )
-    enough = F.col("n") >= F.when(F.col("exact"), F.col("size")).otherwise(F.greatest(F.ceil(F.col("size") * coverage), F.lit(1)))
-    span = F.when(F.col("template").isNotNull() & enough, F.struct("template", F.col("lo").alias("start"), (F.col("hi") + K).alias("end")))
-    return merged.groupBy(*keys).agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_list(span)).alias("spans"))
+    voted = matched.groupBy(*keys, "template", diagonal.alias("diagonal")).agg(F.count("*").alias("n"), F.max(F.when(F.col("at") < 0, F.col("gram"))).alias("n_words"))
+    after = Window.partitionBy(*keys, "template").orderBy("diagonal").rangeBetween(0, NEIGHBOURS)
+    merged = voted.withColumn("n_band", F.sum("n").over(after)).withColumn("diagonals", F.collect_list("diagonal").over(after)).join(F.broadcast(sizes), "template", "left")
+    enough = F.when(F.col("exact"), F.col("n") >= F.col("size")).otherwise(F.col("n_band") >= F.greatest(F.ceil(F.col("size") * share), F.lit(1)))
+    band = F.when(F.col("template").isNotNull() & enough, F.struct("template", F.when(F.col("exact"), F.array("diagonal")).otherwise(F.col("diagonals")).alias("diagonals")))
+    return merged.groupBy(*keys).agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_list(band)).alias("bands"))
+
+
+def _held(words: list[bytes], whole: list[bytes], diagonals: list[int]) -> tuple[int, int, int]:
+    """How many of a template's words stand on one of the diagonals, and the span from the first to behind the last of them."""
+    first, last, n = len(words), -1, 0
+    for t, word in enumerate(whole):
+        at = [t + d for d in diagonals if 0 <= t + d < len(words) and words[t + d] == word]
+        if at:
+            first, last, n = min(first, *at), max(last, *at), n + 1
+    return n, first, last + 1
 
 
 def _verified(batches: Iterator[pa.RecordBatch], texts: list[list[bytes]], n_phrases: int, coverage: float) -> Iterator[pa.RecordBatch]:
+    """Verified spans; of overlapping bands of one notice the best is kept, of equal ones the shortest."""
     kind = pa.list_(pa.struct([pa.field("template", pa.int32()), pa.field("start", pa.int32()), pa.field("end", pa.int32()), pa.field("score", pa.float64())]))
     for batch in batches:
         out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for text, bands in zip(batch.column("text").to_pylist(), batch.column("bands").to_pylist(), strict=True):
             words, kept = words_of_text(text), []
-            for s in spans:
-                own, whole = words[s["start"] : s["end"]], texts[s["template"]]
-                if s["template"] < n_phrases:
-                    score = float(own == whole)
+            for band in bands:  # by template, then diagonal
+                template, whole = band["template"], texts[band["template"]]
+                n, start, end = _held(words, whole, band["diagonals"])
+                if n < len(whole) * (1 if template < n_phrases else coverage):
+                    continue
+                span = {"template": template, "start": start, "end": end, "score": n / len(whole)}
+                if template >= n_phrases and kept and kept[-1]["template"] == template and start < kept[-1]["end"]:
+                    if (span["score"], start - end) > (kept[-1]["score"], kept[-1]["start"] - kept[-1]["end"]):
+                        kept[-1] = span
                 else:
-                    own = own[: 4 * len(whole)]  # a notice repeated on neighbouring diagonals
-                    score = sum(m.size for m in SequenceMatcher(None, own, whole, autojunk=False).get_matching_blocks()) / len(whole)
-                if score >= (1 if s["template"] < n_phrases else coverage):
-                    kept.append(s | {"score": min(score, 1.0)})
+                    kept.append(span)
             out.append(kept)
         yield pa.RecordBatch.from_arrays([batch.column("key_a"), batch.column("key_b"), pa.array(out, kind)], ["key_a", "key_b", "found"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None, coverage: float = COVERAGE, max_broadcast: int = MAX_BROADCAST_TEXTS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None, coverage: float = COVERAGE, share: float = VOTES, max_broadcast: int = MAX_BROADCAST_TEXTS) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_words``, ``found`` (template, word span, score), and the digest columns made of it.
 
     Null and wordless texts have no words and find nothing (``first_word`` and ``last_word`` null, labels
@@ -144,8 +151,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     keyed = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key_a"), F.xxhash64(F.lit(1), F.col(text_col)).alias("key_b"), F.col(text_col).alias("text")
     )
-    per = materialize(votes(keyed.withColumn("row_id", F.monotonically_increasing_id()), template_positions(spark, phrases, notices), sizes, coverage))
-    doubt = per.where(F.size("spans") > 0).groupBy("key_a", "key_b").agg(F.first("spans").alias("spans"))
+    per = materialize(votes(keyed.withColumn("row_id", F.monotonically_increasing_id()), template_positions(spark, phrases, notices), sizes, share))
+    doubt = per.where(F.size("bands") > 0).groupBy("key_a", "key_b").agg(F.first("bands").alias("bands"))
     if doubt.count() <= max_broadcast:
         doubt = F.broadcast(doubt)
     rows = keyed.select("key_a", "key_b", "text").join(doubt, ["key_a", "key_b"])
@@ -153,7 +160,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     n_phrases = len(phrases)
     checked = rows.mapInArrow(lambda b: _verified(b, texts, n_phrases, coverage), f"key_a long, key_b long, found {found}")
     checked = checked.groupBy("key_a", "key_b").agg(F.first("found").alias("found"))
-    out = per.join(checked, ["key_a", "key_b"], "left").withColumn("found", F.coalesce("found", F.array().cast(found)))
+    out = per.drop("bands").join(checked, ["key_a", "key_b"], "left").withColumn("found", F.coalesce("found", F.array().cast(found)))
     base = F.filter("found", lambda s: s["template"] < n_phrases)
     names = F.array(*[F.lit(x) for x in labels])
     listed = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: F.element_at(names, s["template"] + 1)))), ",")

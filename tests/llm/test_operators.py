@@ -471,8 +471,29 @@ def slow_licenses(text):
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
 
 
+def slow_notices(text):
+    """Labels of phrases and notices, and the best score: every diagonal of every template, word by word."""
+    words, labels, best = WORD.findall((text or "").translate(A2Z)), set(slow_licenses(text)[4].split(",")) - {""}, 0.0
+    best = 1.0 if labels else 0.0
+    places = defaultdict(list)
+    for i in range(len(words) - 2):
+        places[tuple(words[i : i + 3])].append(i)
+    for notice, label in licenses.NOTICES.items():
+        whole = notice.split()
+        votes = Counter(i - t for t in range(len(whole) - 2) for i in places.get(tuple(whole[t : t + 3]), ()))
+        for d in votes:
+            band = [x for x in range(d, d + 4) if x in votes]
+            if sum(votes[x] for x in band) >= 0.2 * (len(whole) - 2):
+                held = sum(any(0 <= t + x < len(words) and words[t + x] == w for x in band) for t, w in enumerate(whole))
+                if held >= 0.6 * len(whole):
+                    labels.add(label)
+                    best = max(best, held / len(whole))
+    return ",".join(sorted(labels)), round(best, 9)
+
+
 def check_licenses(got, texts):
     assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in got) == Counter((i, *slow_licenses(t)) for i, t in texts)
+    assert Counter((r["doc_id"], r["labels"], round(r["score"], 9)) for r in got) == Counter((i, *slow_notices(t)) for i, t in texts)
     assert all(set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in got)
 
 
@@ -491,11 +512,29 @@ def test_license_awkward_rows(spark):
     got = {(r["doc_id"], r["labels"]) for r in licenses.scan(documents(spark, texts)).collect()}
     check_licenses(licenses.scan(documents(spark, texts)).collect(), texts)
     assert (21, "mit") in got and (22, "") in got
+    by = {r["doc_id"]: r for r in licenses.scan(documents(spark, texts)).collect()}
+    assert [(x["start"], x["end"]) for x in by[21]["found"]] == [(0, len(notice) + 1)]
     assert licenses.scan(empty(spark)).count() == 0
     by_shuffle = licenses.scan(documents(spark, texts), max_broadcast=-1).collect()
     check_licenses(by_shuffle, texts)
 
 
+@pytest.mark.parametrize("fragment", ["permission is hereby ", "permission is hereby granted free of charge ", "is hereby granted "])
+def test_license_notices_among_repeats(spark, fragment):
+    """Text that repeats a piece of a notice, before, between and behind whole notices and changed ones: each is verified in full."""
+    notice = next(iter(licenses.NOTICES)) + " "
+    changed = " ".join("zzz" if k % 4 == 3 else w for k, w in enumerate(notice.split())) + " "
+    shifted = " ".join([*notice.split()[:9], "very", "much", *notice.split()[9:]]) + " "
+    texts = [fragment * 60 + notice, notice + fragment * 60, fragment * 60 + notice + fragment * 60, fragment * 20 + notice + fragment * 7 + notice, fragment * 60, fragment * 60 + changed, fragment * 31 + shifted + fragment * 3, "licensed under the apache licence version 2 0"]
+    got = licenses.scan(documents(spark, list(enumerate(texts)))).collect()
+    check_licenses(got, list(enumerate(texts)))
+    by = {r["doc_id"]: r for r in got}
+    assert [by[i]["labels"] for i in range(8)] == ["mit"] * 4 + [""] + ["mit"] * 2 + ["apache-2"] and by[0]["score"] == by[3]["score"] == 1
+    at = len((fragment * 60).split())
+    assert [(x["start"], x["end"]) for x in by[0]["found"] if x["score"] == 1] == [(at, at + len(notice.split()))]
+    assert sum(x["score"] == 1 for x in by[3]["found"]) == 2
+
+
 # quality
 
 
