@@ -1,7 +1,8 @@
 """WARC archives as a PySpark Python data source.
 
-Writing: one archive file a task, one record a row, whole payloads only for responses; the commit
-lists the files of the tasks that succeeded, so a retried or lost task leaves nothing that is read.
+Writing: one archive file a task, one record a row, whole payloads only for responses; the commit of
+each job lists the files of its tasks that succeeded, so a retried or lost task leaves nothing that is
+read. ``append`` adds a job's list to those that are there; ``overwrite`` puts it in their place.
 Reading: one partition a file. Each record's header block is parsed first; pushed predicates on the
 record type and other header fields are tested there, and a record that fails them, or whose payload
 was not asked for, has its block skipped (plain archives seek over it) and never decoded.
@@ -17,6 +18,7 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -28,7 +30,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from parleylake.llm._shared import shared_dir, table
 
-MANIFEST = "_files.json"
+MANIFEST = re.compile(r"_files-[0-9a-f]{32}\.json")
+#: Archives of this writer are read only if a commit lists them; others in the folder always are.
+OWN = re.compile(r"part-[0-9a-f]{32}\.warc(\.gz)?")
 #: Header fields by column; the order is that of the schema.
 FIELDS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "payload_bytes": "X-Payload-Length"}
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -62,9 +66,22 @@ class Written(WriterCommitMessage):
     records: int
 
 
+def _listed(path: str) -> tuple[list[str], list[str]]:
+    """The names of all committed archives and archives of other writers below a folder, and of the lists themselves."""
+    from pyarrow import fs
+
+    system, root = _open(path)
+    found = [x.path.removeprefix(root).lstrip("/") for x in system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))]
+    lists, names = sorted(x for x in found if MANIFEST.fullmatch(x)), []
+    for name in lists:
+        with system.open_input_stream(f"{root}/{name}") as held:
+            names += json.loads(held.read())
+    return names + sorted(x for x in found if x.endswith((".warc", ".warc.gz")) and not OWN.fullmatch(x)), lists
+
+
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict[str, str]):
-        self.path, self.gz = options["path"].rstrip("/"), options.get("compression", "none") == "gzip"
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
+        self.path, self.gz, self.overwrite = options["path"].rstrip("/"), options.get("compression", "none") == "gzip", overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = _open(self.path)
@@ -81,8 +98,11 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         system, root = _open(self.path)
         system.create_dir(root, recursive=True)
-        with system.open_output_stream(f"{root}/{MANIFEST}") as out:
+        names, lists = _listed(self.path) if self.overwrite else ([], [])
+        with system.open_output_stream(f"{root}/_files-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps([m.file for m in messages if m and m.records]).encode())
+        for old in [*lists, *names]:  # the lists first: no list ever names a file that is gone
+            system.delete_file(f"{root}/{old}")
 
     def abort(self, messages: list[Written | None]) -> None:
         system, root = _open(self.path)
@@ -112,16 +132,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> Sequence[InputPartition]:
-        from pyarrow import fs
-
-        system, root = _open(self.path)
-        if system.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
-            with system.open_input_stream(f"{root}/{MANIFEST}") as held:
-                names = json.loads(held.read())
-        else:  # archives of other writers
-            found = system.get_file_info(fs.FileSelector(root, recursive=True))
-            names = sorted(x.path.removeprefix(root).lstrip("/") for x in found if x.path.endswith((".warc", ".warc.gz")))
-        return [ArchiveFile(n) for n in names] or [ArchiveFile(None)]  # Spark wants a partition
+        return [ArchiveFile(n) for n in _listed(self.path)[0]] or [ArchiveFile(None)]  # Spark wants a partition
 
     def _wanted(self, row: dict) -> bool:
         return all(row[c] is not None and (values is None or row[c] in values) for c, values in self.tests)
@@ -219,7 +230,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -260,11 +271,17 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages, written to archives in the shared folder and read back; lengths and digests of responses are checked against their payloads."""
+    """All pages, written to archives in the shared folder and read back, each record type by a predicate that the source tests on headers.
+
+    Responses are read with their payloads, of which lengths are taken and digests checked; revisits need
+    their headers only, so their scan skips every payload.
+    """
     register(spark)
     path = shared_dir(spark)
     records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").option("path", path).save()
-    back = spark.read.format("warc").option("path", path).option("verify", "true").load()
+    whole = spark.read.format("warc").option("path", path).option("verify", "true").load().where("record_type = 'response'")
+    headers = spark.read.format("warc").option("path", path).option("payload", "false").load().where("record_type = 'revisit'")
+    back = whole.unionByName(headers)
     number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
     return back.select(
         number("record_id").alias("page_id"), F.when(F.col("record_type") == "response", F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
