@@ -26,6 +26,8 @@ from pyspark.sql.window import Window
 from parleylake.llm._shared import materialize, table
 
 CAPACITY, END_ID = 1024, 2
+#: Pieces a chunk that is ranked by itself.
+CHUNK = 1 << 18
 #: The pre-token pattern of byte-level vocabularies, and their bytes that are written as themselves.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -52,6 +54,8 @@ class Encoder:
         vocabulary, merges = held["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in held["model"]["merges"]]
         others = iter(range(256, 512))
         byte = {chr(b) if b in PLAIN_BYTES else chr(next(others)): b for b in range(256)}
+        if any(t.get(flag) for t in held["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: added tokens that take in what stands around them")
         self.added = {t["content"]: t["id"] for t in held["added_tokens"]}
         own = {t: i for t, i in vocabulary.items() if t not in self.added}
         ranks = {bytes(byte[c] for c in t): i for t, i in own.items()}
@@ -152,21 +156,24 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``. ``pieces`` are read three times, so hand in a written table."""
+    """``pieces`` (with ``_row``, a number of each) with ``sequence_id`` and ``offset``. ``pieces`` are read three times, so hand in a written table.
+
+    Chunks go by the row's number too, so repeated rows spread over them; there is one for each ``CHUNK`` pieces.
+    """
     spark = pieces.sparkSession
-    chunks = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = pieces.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(chunks)).cast("int"))
+    held = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    chunks = max(64, -(-sum(held.values()) // CHUNK))
+    dealt = pieces.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_row"), F.lit(chunks)).cast("int"))
     counts = dealt.groupBy("length", "_chunk").agg(F.count("*").alias("n"))
-    held = {r["length"]: r["n"] for r in dealt.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     segments = spark.createDataFrame(plan(held, capacity), "p_length long, lo long, hi long, first_sequence long, each long, at long")
     before = Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.withColumn("first_rank", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    within = Window.partitionBy("length", "_chunk").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "_chunk").orderBy("doc_id", "piece", "ids_crc32", "_row")
     ranked = dealt.withColumn("_own", F.row_number().over(within)).join(firsts, ["length", "_chunk"]).withColumn("_rank", F.col("first_rank") + F.col("_own") - 1)
     slot = (F.col("length") == F.col("p_length")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi"))
     placed = ranked.join(F.broadcast(segments), slot)  # a few segments for each of at most `capacity` lengths
     return placed.select(
-        *pieces.columns, (F.col("first_sequence") + F.floor((F.col("_rank") - F.col("lo")) / F.col("each"))).alias("sequence_id"),
+        *[c for c in pieces.columns if c != "_row"], (F.col("first_sequence") + F.floor((F.col("_rank") - F.col("lo")) / F.col("each"))).alias("sequence_id"),
         (F.col("at") + (F.col("_rank") - F.col("lo")) % F.col("each") * F.col("length")).alias("offset"),
     )
 
@@ -176,11 +183,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     Repeated rows and null ids are packed like others, further columns are ignored, an empty table gives no pieces.
     """
-    return assign(materialize(tokenized_pieces(docs, id_col, text_col, tokenizer, capacity, end_id, with_ids)), capacity)
+    pieces = tokenized_pieces(docs, id_col, text_col, tokenizer, capacity, end_id, with_ids)
+    return assign(materialize(pieces.withColumn("_row", F.monotonically_increasing_id())), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """(``sequence_id``, ``ids``, ``starts``): the packed training sequences, from ``pack(..., with_ids=True)``; each holds ``capacity`` ids at most."""
+    """(``sequence_id``, ``ids``, ``starts``): the packed training sequences, from ``pack(..., with_ids=True)``; each holds ``capacity`` ids at most.
+
+    Every piece has ids, at least the end mark, so nothing is null or empty; no pieces give no sequences; further columns are left out.
+    """
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return packed.groupBy("sequence_id").agg(parts.alias("p")).select("sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.offset").alias("starts"))
 
