@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parleylake.llm._shared import table, words_of
+from parleylake.llm._shared import materialize, table, words_of
 
 WINDOW = 10
 #: Up to so many distinct benchmark windows are broadcast (some 200 bytes each); beyond, the join shuffles.
@@ -20,15 +20,14 @@ MAX_BROADCAST_WINDOWS = 500_000
 
 
 def benchmark_windows(items: DataFrame, n: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct windows: ``w_len``, ``w_hash``, ``w_words``, ``w_items`` (sorted item ids as strings, null as '')."""
-    words = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), words_of(F.col(text_col)).alias("words"))
+    """(``w_len``, ``w_hash``, ``w_words``, ``w_item``) of every distinct window and item that has it; item ids are strings, null as ''."""
+    words = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("w_item"), words_of(F.col(text_col)).alias("words"))
     size = F.size("words")
     starts = words.where(size > 0).select(
-        "item", "words", F.least(size, F.lit(n)).alias("w_len"), F.explode(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))).alias("at")
+        "w_item", "words", F.least(size, F.lit(n)).alias("w_len"), F.explode(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))).alias("at")
     )
-    grams = starts.select("item", "w_len", F.slice("words", F.col("at"), F.col("w_len")).alias("w_words"))
-    sets = grams.groupBy("w_len", "w_words").agg(F.array_sort(F.collect_set("item")).alias("w_items"))
-    return sets.select("w_len", _hash("w_words", 0, n).alias("w_hash"), "w_words", "w_items")
+    grams = starts.select("w_item", "w_len", F.slice("words", F.col("at"), F.col("w_len")).alias("w_words")).distinct()
+    return grams.select("w_len", _hash("w_words", 0, n).alias("w_hash"), "w_words", "w_item")
 
 
 def _hash(words: str, start: F.Column | int, length: int):
@@ -37,34 +36,56 @@ def _hash(words: str, start: F.Column | int, length: int):
     return F.xxhash64(*[F.get(F.col(words), at + i) for i in range(length)])
 
 
+def _text_key(text: str) -> list[F.Column]:
+    """Two hashes that together name a text."""
+    return [F.xxhash64(F.col(text)).alias("key_a"), F.xxhash64(F.lit(1), F.col(text)).alias("key_b")]
+
+
 def find_hits(docs: DataFrame, windows: DataFrame, n: int = WINDOW, text_col: str = "text", max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
-    """Rows (``row_id``, the other columns of ``docs`` but its text, ``n_words``, ``at``, ``w_len``, ``w_items``).
+    """Rows (``row_id``, the other columns of ``docs`` but its text, ``n_words``, ``at``, ``w_len``, ``w_id``).
+
+    ``windows`` has ``w_len``, ``w_hash``, ``w_words``, each window once. One row per verified window
+    occurrence, named by ``w_id`` (its words' hash), and at least one row per document: where a document
+    has no hit at its first position, that row has a null ``w_id``.
 
-    One row per verified window occurrence, and at least one row per document: where a document has
-    no hit at its first position, that row has null ``w_items``.
+    Up to ``max_broadcast`` windows are broadcast. Beyond, a narrow row per position (text key, position,
+    hash) meets the windows' hashes; what survives is brought back to the texts and verified there.
     """
     keep = [c for c in docs.columns if c != text_col]
-    base = docs.select(F.monotonically_increasing_id().alias("row_id"), *keep, words_of(F.col(text_col)).alias("words"))
-    base = base.withColumn("n_words", F.size("words").cast("long"))
-    held = windows.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("w_len")).alias("lens")).first()
+    held = windows.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("w_len")).alias("lens")).first()  # at most n lengths
     lens, small = list(held["lens"]) or [n], held["n"] <= max_broadcast
-    spots = base.select("*", F.posexplode_outer("words").alias("at", "_word")).drop("_word")
-    if lens == [n]:
-        spots = spots.withColumn("p_len", F.lit(n)).withColumn("p_hash", _hash("words", F.col("at"), n))
-    else:  # items shorter than n words: one probe for each length that occurs, at most n of them
-        probes = F.array(*[F.struct(F.lit(k).alias("p_len"), _hash("words", F.col("at"), k).alias("p_hash")) for k in lens])
-        spots = spots.select("*", F.inline(probes))
+    windows = windows.select("w_len", "w_hash", "w_words", _window_id())
+
+    def probes(base: DataFrame) -> DataFrame:
+        spots = base.select("*", F.posexplode_outer("words").alias("at", "_word")).drop("_word")
+        if lens == [n]:
+            return spots.withColumn("p_len", F.lit(n)).withColumn("p_hash", _hash("words", F.col("at"), n))
+        # items shorter than n words: one probe for each length that occurs, at most n of them
+        return spots.select("*", F.inline(F.array(*[F.struct(F.lit(k).alias("p_len"), _hash("words", F.col("at"), k).alias("p_hash")) for k in lens])))
+
+    base = docs.select(F.monotonically_increasing_id().alias("row_id"), *keep, words_of(F.col(text_col)).alias("words"), *([] if small else _text_key(text_col)))
+    base = base.withColumn("n_words", F.size("words").cast("long"))
     equal = F.col("p_hash") == F.col("w_hash")
-    same = (F.col("p_len") == F.col("w_len")) & (F.slice("words", F.col("at") + 1, F.col("p_len")) == F.col("w_words"))
     if small:
         # equal words are checked after the join: as a join condition they would slow the probe of every position
-        found = spots.join(F.broadcast(windows), equal, "left").withColumn("w_items", F.when(same, F.col("w_items")))
-    else:  # rows carry their own window instead of the whole word array
-        spots = spots.withColumn("words", F.slice("words", F.col("at") + 1, F.col("p_len"))).where(F.col("at").isNotNull())
-        hits = spots.join(windows, equal & (F.col("p_len") == F.col("w_len")) & (F.col("words") == F.col("w_words")))
-        found = hits.unionByName(base.withColumn("at", F.lit(0)), allowMissingColumns=True)
-    first = F.col("at").isNull() | (F.col("at") == 0)
-    return found.where(F.col("w_items").isNotNull() | first).select("row_id", *keep, "n_words", "at", "w_len", "w_items")
+        same = (F.col("p_len") == F.col("w_len")) & (F.slice("words", F.col("at") + 1, F.col("p_len")) == F.col("w_words"))
+        found = probes(base).join(F.broadcast(windows), equal, "left").withColumn("w_id", F.when(same, F.col("w_id")))
+        first = F.col("at").isNull() | (F.col("at") == 0)
+        return found.where(F.col("w_id").isNotNull() | first).select("row_id", *keep, "n_words", "at", "w_len", "w_id")
+    texts = docs.select(*_text_key(text_col), words_of(F.col(text_col)).alias("words"))
+    spots = probes(texts).where(F.col("at").isNotNull()).select("key_a", "key_b", "at", "p_len", "p_hash")
+    survivors = spots.join(windows, equal & (F.col("p_len") == F.col("w_len"))).select("key_a", "key_b", F.struct("at", "w_len", "w_id", "w_words").alias("spot"))
+    survivors = survivors.groupBy("key_a", "key_b").agg(F.collect_set("spot").alias("spots"))  # of one text, whose rows share it
+    verified = F.filter("spots", lambda x: F.slice("words", x["at"] + 1, x["w_len"]) == x["w_words"])
+    found = base.join(survivors, ["key_a", "key_b"], "left").withColumn("spots", verified)
+    none = F.array(F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("w_len"), F.lit(None).cast("string").alias("w_id")))
+    listed = F.when(F.size("spots") > 0, F.transform("spots", lambda x: F.struct(x["at"].alias("at"), x["w_len"].alias("w_len"), x["w_id"].alias("w_id")))).otherwise(none)
+    return found.select("row_id", *keep, "n_words", F.inline(listed))
+
+
+def _window_id() -> F.Column:
+    """A window's name: a hash of its words that no two windows share."""
+    return F.md5(F.array_join("w_words", " ")).alias("w_id")
 
 
 def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
@@ -72,13 +93,19 @@ def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_
 
     Null or wordless texts have no words and no hits; an empty benchmark gives no hits. Repeated rows
     each keep their own row, null ids stay null. Further columns of either table are ignored.
-    ``hit_spans`` are the merged word spans (start, end), which ``remove_spans`` takes.
+    ``hit_spans`` are the merged word spans (start, end), which ``remove_spans`` takes. Items are looked up
+    once for each distinct set of windows that documents hold, not for each hit.
     """
-    windows = benchmark_windows(items, n, item_col, item_text_col)
-    hits = find_hits(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), windows, n, max_broadcast=max_broadcast)
-    hit = F.col("w_items").isNotNull()
+    windows = materialize(benchmark_windows(items, n, item_col, item_text_col))
+    distinct = windows.select("w_len", "w_hash", "w_words").distinct()
+    hits = find_hits(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), distinct, n, max_broadcast=max_broadcast)
+    hit = F.col("w_id").isNotNull()
     spans = F.array_sort(F.collect_set(F.when(hit, F.struct(F.col("at").alias("start"), (F.col("at") + F.col("w_len")).alias("end")))))
-    per = hits.groupBy("row_id", "doc_id", "n_words").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("w_items")))).alias("found"))
+    per = materialize(hits.groupBy("row_id", "doc_id", "n_words").agg(spans.alias("spans"), F.array_sort(F.collect_set("w_id")).alias("w_ids")))
+    sets = per.where(F.size("w_ids") > 0).select("w_ids").distinct()
+    named = windows.select(_window_id(), "w_item")
+    found = sets.select("w_ids", F.explode("w_ids").alias("w_id")).join(named, "w_id").groupBy("w_ids").agg(F.array_sort(F.collect_set("w_item")).alias("found"))
+    per = per.join(found, "w_ids", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
     merged = F.aggregate(
         "spans",
         F.array().cast("array<struct<start:int,end:int>>"),
@@ -101,25 +128,33 @@ def remove_documents(docs: DataFrame, items: DataFrame, n: int = WINDOW, text_co
     A contaminated text is removed wherever it stands, so the anti join goes by the text's hash and
     length; repeated rows stay repeated and null texts stay.
     """
-    windows = benchmark_windows(items, n, item_col, item_text_col)
+    windows = benchmark_windows(items, n, item_col, item_text_col).select("w_len", "w_hash", "w_words").distinct()
     key = F.struct(F.xxhash64(F.col(text_col)), F.octet_length(F.col(text_col)), F.md5(F.col(text_col)))
     hits = find_hits(docs.select(key.alias("text_key"), F.col(text_col).alias("text")), windows, n)
-    bad = hits.where(F.col("w_items").isNotNull()).select(F.col("text_key").alias("_bad_key")).distinct()
+    bad = hits.where(F.col("w_id").isNotNull()).select(F.col("text_key").alias("_bad_key")).distinct()
     rows = docs.select(F.struct("*").alias("_row"), key.alias("_key"))  # whole rows, so no column of theirs can clash
     return rows.join(bad, F.col("_key") == F.col("_bad_key"), "left_anti").select("_row.*")
 
 
-def remove_spans(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(``doc_id``, ``text``) with every hit word blanked out of the text; separators stay, null texts stay null."""
-    found = scan(docs, items, n, id_col, text_col, item_col, item_text_col).where("contaminated").select("doc_id", "hit_spans").distinct()
+def remove_spans(docs: DataFrame, items: DataFrame, n: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` with every hit word blanked out of the text; separators, other columns and the number of rows stay.
+
+    What is hit depends on a text alone, so spans are joined back by the text's hashes and length: rows
+    with null or repeated ids and repeated rows each get their own text's spans. Null and empty texts stay
+    as they are, an empty table gives an empty result, an empty benchmark changes nothing.
+    """
+    key = F.struct(F.xxhash64(F.col(text_col)), F.octet_length(F.col(text_col)), F.md5(F.col(text_col)))
+    found = scan(docs.select(key.alias("doc_id"), F.col(text_col).alias("text")), items, n, "doc_id", "text", item_col, item_text_col)
+    found = found.where("contaminated").groupBy(F.col("doc_id").alias("_key")).agg(F.first("hit_spans").alias("_spans"))
+    rows = docs.select(F.struct("*").alias("_row"), key.alias("_key")).join(found, "_key", "left")  # whole rows, so no column of theirs can clash
+    own, hit = lambda c: F.col("_row").getField(c), F.col("_spans").isNotNull()
     gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the text still has its upper case
-    parts = F.regexp_extract_all(F.col("text"), F.lit(gap + "|" + gap.replace("[", "[^")), F.lit(0))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(found, "doc_id", "left")
-    rows = rows.withColumn("_parts", F.when(F.col("hit_spans").isNotNull(), parts))
+    rows = rows.withColumn("_parts", F.when(hit, F.regexp_extract_all(own(text_col), F.lit(gap + "|" + gap.replace("[", "[^")), F.lit(0))))
     lead = F.when(F.col("_parts")[0].rlike(f"^{gap}"), 1).otherwise(0)
-    inside = lambda i: F.exists("hit_spans", lambda s: (i >= s["start"]) & (i < s["end"]))
+    inside = lambda i: F.exists("_spans", lambda s: (i >= s["start"]) & (i < s["end"]))
     blank = F.transform("_parts", lambda p, i: F.when(((i - lead) % 2 == 0) & inside(((i - lead) / 2).cast("int")), F.lit("")).otherwise(p))
-    return rows.select("doc_id", F.when(F.col("hit_spans").isNotNull(), F.array_join(blank, "")).otherwise(F.col("text")).alias("text"))
+    changed = {text_col: F.when(hit, F.array_join(blank, "")).otherwise(own(text_col))}
+    return rows.select([changed.get(c, own(c)).alias(c) for c in docs.columns])
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
