@@ -66,10 +66,13 @@ def pairs_from_conversations(turns: DataFrame, role: str = "assistant") -> DataF
     """A pair for every conversation with an answer: as it is up to its last answer, and with an earlier answer in that one's place.
 
     The stand-in is the answer before the last, or nothing where there is none. Turns are ordered by
-    number, then role and text; conversations without answers give no pair.
+    number (null first), then role and text, null roles and texts being ''; repeated turns stay repeated;
+    conversations without answers give no pair, nor do turns without a ``conv_id``, which belong to no
+    conversation; an empty table gives no pairs; further columns are ignored. A pair is one row, so a
+    conversation's turns must fit in a task.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
-    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    whole = turns.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     whole = whole.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))))
     answers = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == role)
     whole = whole.withColumn("answers", answers).where(F.size("answers") > 0)
@@ -91,7 +94,7 @@ def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH t AS (SELECT conv_id, list({'turn': turn, 'role': coalesce(role, ''), 'content': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts FROM conversations GROUP BY conv_id),
+WITH t AS (SELECT conv_id, list({'turn': turn, 'role': coalesce(role, ''), 'content': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
   w AS (SELECT conv_id, ts, list_filter(generate_series(1, len(ts)), lambda i: ts[i].role = 'assistant') AS ans FROM t),
   p AS (SELECT conv_id, list_transform(ts[1:ans[-1]], lambda x: {'role': x.role, 'content': x.content}) AS a,
                list_transform(ts[1:ans[-1] - 1], lambda x: {'role': x.role, 'content': x.content}) ||
