@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ ORDERS = (1, 2, 3, 4)
 SAMPLE = 2_000
 SMOOTHING, COST, EPOCHS, SEED = 1.0, 1.0, 12, 7
 THRESHOLD, FOLDS = 0.3, 5
+#: Texts of fewer bytes sort their features; longer ones mark them in a table of ``DIMS`` flags, which costs the same for each.
+SHORT = 512
 #: Up to so many labels are broadcast (some 30 bytes each); beyond, documents and labels are shuffled together.
 MAX_BROADCAST_LABELS = 1_000_000
 
@@ -33,21 +36,25 @@ MAX_BROADCAST_LABELS = 1_000_000
 def features(text: str | None, dims: int = DIMS) -> np.ndarray:
     """The sorted distinct feature numbers of a whole text; none for null and empty texts."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
-    seen = np.zeros(dims, bool)
-    code = np.zeros(len(data), np.uint32)
+    code, found = np.zeros(len(data), np.uint32), []
     for order in ORDERS:
         if len(data) < order:
             break
         code = (code[: len(data) - order + 1] << np.uint32(8)) | data[order - 1 :]
-        seen[((code + np.uint32(order)) * np.uint32(2654435761)) >> np.uint32(32 - dims.bit_length() + 1)] = True
+        found.append(((code + np.uint32(order)) * np.uint32(2654435761)) >> np.uint32(32 - dims.bit_length() + 1))
     words = (text or "").split()
     if len(words) > 1:
         same = np.fromiter(map(str.__eq__, words, words[1:]), bool, len(words) - 1)
         for run in (1, 2, 3):
             if not same.any():
                 break
-            seen[dims - run] = True
+            found.append(np.array([dims - run], np.uint32))
             same = same[1:] & same[:-1]
+    if len(data) < SHORT:
+        return np.unique(np.concatenate(found)).astype(np.int64) if found else np.empty(0, np.int64)
+    seen = np.zeros(dims, bool)
+    for codes in found:
+        seen[codes] = True
     return np.flatnonzero(seen)
 
 
@@ -81,7 +88,8 @@ def _counts(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordB
 def _rows(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [features(t, dims).astype(np.int32) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.int32()))], ["label", "features"])
+        place = pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63) for x in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("label"), place, pa.array(found, pa.list_(pa.int32()))], ["label", "place", "features"])
 
 
 def _descend(rows: list[np.ndarray], norms: np.ndarray, signs: np.ndarray, ratio: np.ndarray, cost: float, epochs: int) -> tuple[np.ndarray, float]:
@@ -147,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     order = F.struct(F.xxhash64("mark_id"), F.col("mark_id"))
     picked = [marks.where(F.col("label") == k).orderBy(order).limit(sample) for k in (0, 1)]
-    picked = learn_from(picked[0].unionByName(picked[1])).mapInArrow(lambda b: _rows(b, dims), "label int, features array<int>").toArrow()
+    picked = learn_from(picked[0].unionByName(picked[1])).mapInArrow(lambda b: _rows(b, dims), "label int, place long, features array<int>").toArrow()
     marks.unpersist()
     found, signs = _views(picked)
     norms = np.array([np.linalg.norm(ratio[x]) or 1.0 for x in found])
@@ -165,13 +173,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _views(picked: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
-    """The rows' features as views of the table's own memory, and their signs, in an order that doesn't depend on their arrival."""
+    """The rows' features as views of the table's own memory, and their signs, ordered by a hash of the features and the label: rows that tie are the same, so folds and fit don't depend on their arrival."""
     found: list[np.ndarray] = []
     for chunk in picked.column("features").chunks:
         flat, ends = chunk.values.to_numpy(), chunk.offsets.to_numpy()
         found += [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
     signs = picked.column("label").to_numpy() * 2.0 - 1
-    place = sorted(range(len(found)), key=lambda i: (len(found[i]), int(found[i][:64].sum()), signs[i], int(found[i][-64:].sum())))
+    place = np.lexsort((signs, picked.column("place").to_numpy()))
     return [found[i] for i in place], signs[place]
 
 
@@ -200,7 +208,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``; columns as they were."""
+    """The rows of ``docs`` that score at least ``threshold``; columns as they were.
+
+    Each row is judged by its own text, so repeated rows go or stay together; null texts count as empty,
+    null ids are never learnt from, ties at the threshold stay, an empty table gives an empty result.
+    """
     model = train(docs, labels, id_col, text_col, label_col)
     return docs.where(score(F.col(text_col), model, docs.sparkSession) >= threshold)
 
