@@ -16,9 +16,12 @@ NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent, as in local tests, a temporary folder takes its place.
+    Where the setting is absent, a local session gets a temporary folder, and a cluster an error: its
+    executors would not see the driver's folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="parleylake-")
         spark.sparkContext.setCheckpointDir(root)
@@ -33,6 +36,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(written: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote and that nothing will read again."""
+    jvm = written.sparkSession._jvm
+    for folder in {file.rsplit("/", 1)[0] for file in written.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(written.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` has a fast path for pure ASCII; other texts go through ``translate``."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

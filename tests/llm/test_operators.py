@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from parleylake.llm import chat, components, decontam, embed_dedup, licenses, nbsvm, packing, reshard, secrets, simhash, warc
+from parleylake.llm._shared import materialize
 from tests.llm.fixtures import TEXTS, documents, empty, oracle, table
 
 A2Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -52,6 +53,36 @@ def base_spans(text):
     return [f"{k}:{s}:{e}" for s, _, k, e in sorted(found)]
 
 
+def slow_secrets(rows):
+    """Of (text, owner, repository) rows: per row the owned spans, all live spans, and how many candidates are live and examples."""
+    every = []
+    for text, owner, repo in rows:
+        text, found = text or "", []
+        for span in base_spans(text):
+            kind, start, end = span.split(":")
+            value = text[int(start) : int(end)]
+            if kind == "assign":
+                value = re.fullmatch(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(.*)""", value, re.A | re.I)[1]
+            found.append((int(start), int(end), kind, value))
+        for m in re.finditer("[A-Za-z0-9+/_=-]{24,}", text):
+            counts = [c / len(m[0]) for c in Counter(m[0]).values()]
+            mixed = all(re.search(x, m[0]) for x in ("[A-Z]", "[a-z]", "[0-9]")) and -sum(c * np.log2(c) for c in counts) >= 3.5
+            if mixed and not any(s < m.end() and e > m.start() for s, e, k, _ in found if k != "owned"):
+                found.append((m.start(), m.end(), "owned", m[0]))
+        every.append((found, owner or "", repo))
+    owners, repos = defaultdict(set), defaultdict(set)
+    for found, owner, repo in every:
+        for *_, value in found:
+            owners[value].add(owner)
+            repos[value].add(repo)
+    example = {v for v in owners if len(owners[v]) >= 3 or len(owners[v]) > 1 and len(repos[v]) >= 3}
+    out = []
+    for found, _, _ in every:
+        live = [x for x in found if x[3] not in example]
+        out.append((sorted((s, e) for s, e, k, _ in live if k == "owned"), sorted((s, e) for s, e, _, _ in live), len(live), len(found) - len(live)))
+    return out
+
+
 def check_secrets(got, texts):
     assert Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in got) == Counter(
         (i, *(sum(x.startswith(k) for x in base_spans(t)) for k in ("assign", "access", "hex")), hashlib.sha256(",".join(base_spans(t)).encode()).hexdigest()) for i, t in texts
@@ -65,6 +96,11 @@ def test_secrets_query(spark, sf):
     by = dict(texts)
     for r in got:
         assert [x for x in r["spans"].split(",") if x and not x.startswith("owned")] == base_spans(by[r["doc_id"]])
+    held = table(sf, "documents", "doc_id, text, source, lang")
+    want = {i: x for (i, *_), x in zip(held, slow_secrets([(t, s, "/".join(y for y in (s, lang) if y is not None)) for _, t, s, lang in held]), strict=True)}
+    for r in got:
+        owned = sorted(tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("owned"))
+        assert (owned, r["n_live"], r["n_example"]) == (want[r["doc_id"]][0], *want[r["doc_id"]][2:]), r["doc_id"]
 
 
 def test_secret_ownership(spark):
@@ -74,6 +110,8 @@ def test_secret_ownership(spark):
     found = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
     assert all(found[i]["n_live"] == 0 and found[i]["n_example"] == 1 for i in range(9))
     assert found[20]["n_live"] == 2 and [(s["start"], s["end"]) for s in found[20]["owned"]] == [(texts[9][1].index(odd), len(texts[9][1]))]
+    want = slow_secrets([(t, f"src{i % 3}", f"src{i % 3}/en") for i, t in texts])
+    assert [(sorted((s["start"], s["end"]) for s in found[i]["owned"]), sorted((s["start"], s["end"]) for s in found[i]["live"]), found[i]["n_live"], found[i]["n_example"]) for i, _ in texts] == want
     cleaned = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     assert cleaned[20] == "use [SECRET] and [SECRET]" and cleaned[0] == texts[0][1]
     assert secrets.redact(docs).columns == docs.columns
@@ -123,6 +161,15 @@ def test_chat_pairs(spark):
     assert chat.format_pairs(df.limit(0)).count() == 0
 
 
+def test_chat_turns_without_a_conversation(spark):
+    """Turns without a conversation give no pair; null numbers come first, repeated turns stay."""
+    turns = [(None, 1, "user", "x"), (None, 2, "assistant", "y"), (1, 2, "assistant", "b"), (1, None, "user", "a"), (1, 3, None, None), (1, 2, "assistant", "b"), (2, 1, "user", "only")]
+    df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn int, role string, text string, pair_id int")
+    got = [(r["pair_id"], [tuple(x) for x in r["chosen"]], [tuple(x) for x in r["rejected"]]) for r in chat.pairs_from_conversations(df).collect()]
+    assert got == [(1, [("user", "a"), ("assistant", "b"), ("assistant", "b")], [("user", "a"), ("assistant", "b"), ("assistant", "b")])]
+    assert chat.pairs_from_conversations(df.limit(0)).count() == 0
+
+
 # resharding
 
 
@@ -138,8 +185,36 @@ def check_shards(got, texts, shards=8):
     assert all(abs(sum(r["size"] for r in held[s]) - total / shards) <= 2 * largest + 1 for s in range(shards))
 
 
+def check_moves(got, shards=8):
+    """No more bytes move than any layout of equal shards must move, but for the documents at a split."""
+    supply, moved, largest = Counter(), 0, max(r["size"] for r in got)
+    for r in got:
+        supply[r["old_shard"]] += r["size"]
+        moved += r["size"] * (r["old_shard"] != r["shard"])
+    capacity = dict(enumerate(reshard.even_capacities(sum(supply.values()), shards)))
+    least = sum(max(0, n - capacity.get(old, 0)) for old, n in supply.items())
+    flow = reshard.min_cost_flow(supply, capacity)
+    assert sum(n for (old, new), n in flow.items() if old != new) == least and abs(moved - least) <= (len(supply) + shards) * largest
+
+
 def test_reshard_query(spark, sf):
-    check_shards(reshard.op3_reshard(spark, sf).collect(), table(sf, "documents", "doc_id, text"))
+    got = reshard.op3_reshard(spark, sf).collect()
+    check_shards(got, table(sf, "documents", "doc_id, text"))
+    check_moves(got)
+
+
+@pytest.mark.parametrize("blocks", [None, 1, 3])
+def test_reshard_hot_rows(spark, blocks):
+    """A third of all rows are the same, another third have neither id nor text: blocks hold even shares of them."""
+    texts = [(7, "the same row")] * 300 + [(None, None)] * 300 + [(i, "x" * (i % 90)) for i in range(300)]
+    docs = documents(spark, texts)
+    numbered = materialize(reshard.numbered(docs, F.when(F.col("doc_id") > 100, 3)))
+    placed = materialize(reshard.reshard(numbered, blocks=blocks))
+    got = reshard.with_slots(placed).collect()
+    check_shards(got, texts)
+    check_moves(got)
+    if blocks is None:
+        assert max(Counter((r["old_shard"], r["block"]) for r in got).values()) < 20
 
 
 def test_reshard_awkward_rows(spark, tmp_path):
@@ -290,6 +365,15 @@ def test_packing_awkward_rows(spark, tokenizer):
     assert all(len(r["ids"]) <= 1024 for r in packing.sequences(packed).collect())
 
 
+def test_packing_spreads_repeated_rows(spark, tokenizer):
+    texts = [(None, None)] * 400 + [(1, "the same text")] * 400
+    pieces = packing.tokenized_pieces(documents(spark, texts)).withColumn("_row", F.monotonically_increasing_id())
+    assert packing.assign(materialize(pieces)).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    check_packed(packing.pack(documents(spark, texts)).collect(), texts, tokenizer)
+    spread = pieces.groupBy(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_row"), F.lit(64))).count().agg(F.max("count")).first()[0]
+    assert spread < 40
+
+
 def test_plan_equals_best_fit():
     rng = np.random.default_rng(1)
     for _ in range(60):
@@ -379,6 +463,60 @@ def test_warc_predicates(spark, tmp_path, compression):
     assert len(left) == 1 and sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 3
 
 
+class Counted:
+    """A file that counts the bytes that are read from it."""
+
+    def __init__(self, held):
+        self.held, self.bytes, self.seek, self.tell, self.seekable = held, 0, held.seek, held.tell, held.seekable
+
+    def read(self, n):
+        got = self.held.read(n)
+        self.bytes += len(got)
+        return got
+
+
+def test_warc_skips_payloads_that_are_not_wanted(spark, tmp_path):
+    """The query's scans push the record type; the header scan reads a fraction of the bytes, as it seeks over payloads."""
+    from pyspark.sql.datasource import EqualTo
+
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"{i % 8}" * 1_000_000) for i in range(24)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    warc.register(spark)
+    path = f"file://{tmp_path}/a"
+    warc.records(pages).coalesce(1).write.format("warc").mode("append").option("path", path).save()
+    for kind, payload, least, most in (("revisit", "false", 0, 2_000_000), ("response", "true", 8_000_000, 10_000_000), ("warcinfo", "true", 0, 2_000_000)):
+        reader = warc.WarcReader({"path": path, "payload": payload})
+        assert list(reader.pushFilters([EqualTo(("record_type",), kind)])) == []
+        taken = 0
+        for part in reader.partitions():
+            with open(f"{tmp_path}/a/{part.file}", "rb") as file:
+                held = Counted(file)
+                found = list(reader._records(held))
+                taken += held.bytes
+                assert all(r["record_type"] == kind for r in found) and len(found) == {"revisit": 16, "response": 8}.get(kind, 0)
+        assert least <= taken <= most, (kind, taken)
+    plan = warc.op6_warc(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan warc") == 2 and "Filter " not in plan  # what the source takes over leaves the plan
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_warc_append_and_overwrite(spark, tmp_path, compression):
+    warc.register(spark)
+    path = f"file://{tmp_path}/a"
+
+    def write(first, mode):
+        pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>") for i in range(first, first + 3)], "page_id long, url string, html string")
+        warc.records(pages).write.format("warc").mode(mode).option("path", path).option("compression", compression).save()
+        return sorted(int(r["record_id"][10:-1]) for r in spark.read.format("warc").option("path", path).load().collect())
+
+    assert write(0, "append") == [0, 1, 2] and write(3, "append") == [0, 1, 2, 3, 4, 5]
+    (tmp_path / "a" / "other.warc").write_bytes(warc.record_bytes({"record_id": "<urn:page:9>", "record_type": "response", "target_uri": None, "refers_to": None, "payload_digest": None, "payload_bytes": 1, "payload": b"x"}))
+    (tmp_path / "a" / f"part-{'0' * 32}.warc").write_bytes(b"what a lost task left")
+    assert write(6, "append") == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]
+    assert write(20, "overwrite") == [20, 21, 22] and not (tmp_path / "a" / "other.warc").exists()
+    assert write(30, "append") == [20, 21, 22, 30, 31, 32]
+
+
 # embeddings
 
 
@@ -595,3 +733,70 @@ def test_decontamination_removes_spans(spark):
     bench = spark.createDataFrame([(1, "brown fox jumps over the lazy dog and runs away")], "item_id long, text string")
     got = {r["doc_id"]: r["text"] for r in decontam.remove_spans(documents(spark, [(1, "The quick Brown fox, jumps over the lazy dog and runs away!"), (2, None), (3, "fine")]), bench).collect()}
     assert got[1].split() == ["The", "quick", ",", "!"] and got[2] is None and got[3] == "fine"
+
+
+@pytest.mark.parametrize("most", [500_000, -1])
+def test_decontamination_spans_go_by_row(spark, most, monkeypatch):
+    """Rows with one id, with none, and repeated rows each lose their own spans; the shuffled way finds what the broadcast one does."""
+    monkeypatch.setattr(decontam.find_hits, "__defaults__", (*decontam.find_hits.__defaults__[:-1], most))
+    monkeypatch.setattr(decontam.scan, "__defaults__", (*decontam.scan.__defaults__[:-1], most))
+    bench = spark.createDataFrame([(k, "brown fox jumps over the lazy dog and runs away") for k in range(3)] + [(9, "two words")], "item_id long, text string")
+    fox, rest = "The quick Brown fox, jumps over the lazy dog and runs away!", "some Two-words here"
+    texts = [(1, fox), (1, rest), (None, fox), (None, None), (2, rest), (2, rest), (3, ""), (4, "clean")]
+    docs = documents(spark, texts)
+    cleaned = decontam.remove_spans(docs, bench)
+    assert cleaned.columns == docs.columns
+    got = Counter((r["doc_id"], " ".join(r["text"].split()) if r["text"] is not None else None) for r in cleaned.collect())
+    assert got == Counter([(1, "The quick , !"), (1, "some - here"), (None, "The quick , !"), (None, None), (2, "some - here"), (2, "some - here"), (3, ""), (4, "clean")])
+    assert decontam.remove_spans(empty(spark), bench).count() == 0
+    assert Counter(decontam.remove_spans(docs, bench.limit(0)).select("doc_id", "text").collect()) == Counter(texts)
+
+
+def slow_features(text):
+    data, found = (text or "").encode(), set()
+    for order in (1, 2, 3, 4):
+        for k in range(len(data) - order + 1):
+            found.add((int.from_bytes(data[k : k + order], "big") + order) * 2654435761 % 2**32 >> 14)
+    words = (text or "").split()
+    for run in (1, 2, 3):
+        if any(len(set(words[k : k + run + 1])) == 1 for k in range(len(words) - run)):
+            found.add(2**18 - run)
+    return sorted(found)
+
+
+def test_quality_features_and_ratios(spark):
+    """Features, ratios and scores of an independent naive-Bayes count, for short and long texts; shuffled input gives the same model."""
+    rng = np.random.default_rng(8)
+    words = ["good", "text", "about", "rivers", "é", "zzz", "click", "here", "!!", "a"]
+    texts = [(i, None if i == 5 else "" if i == 6 else " ".join(rng.choice(words[: 6 if i % 2 else 10], int(rng.integers(1, 300))))) for i in range(60)]
+    assert all(nbsvm.features(t).tolist() == slow_features(t) for _, t in texts)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = nbsvm.train(docs, labels)
+    learnt = [(slow_features(t), i % 2) for i, t in texts if zlib.crc32(str(i).encode()) % 5]
+    pos, neg = np.ones(2**18), np.ones(2**18)
+    for found, label in learnt:
+        (pos if label else neg)[found] += 1
+    seen = (pos > 1) | (neg > 1)
+    ratio = np.where(seen, np.log(pos / pos.sum()) - np.log(neg / neg.sum()), 0)
+    assert np.allclose(np.sqrt(model.square), np.abs(ratio))
+    again = nbsvm.train(docs.repartition(7).orderBy(F.rand(3)), labels.orderBy(F.desc("doc_id")))
+    assert (again.weight == model.weight).all() and (again.bias, again.slope, again.shift) == (model.bias, model.slope, model.shift)
+    right = [(model.score(t) >= 0.3) == bool(i % 2) for i, t in texts if len(slow_features(t)) > 20]
+    assert sum(right) >= 0.9 * len(right)
+
+
+def test_quality_hinge_loss_is_least():
+    """Dual coordinate descent against projected gradient steps on the same dual, on dense rows."""
+    rng = np.random.default_rng(4)
+    rows_of = [np.sort(rng.choice(40, int(rng.integers(3, 12)), replace=False)) for _ in range(50)]
+    signs, ratio = np.where(rng.random(50) < 0.5, 1.0, -1.0), rng.normal(size=40)
+    norms = np.array([np.linalg.norm(ratio[x]) for x in rows_of])
+    w, bias = nbsvm._descend(rows_of, norms, signs, ratio, 1.0, 3000)
+    dense = np.zeros((50, 41))
+    for i, x in enumerate(rows_of):
+        dense[i, x], dense[i, 40] = ratio[x] / norms[i], 1
+    q, alpha = (dense * signs[:, None]) @ (dense * signs[:, None]).T, np.zeros(50)
+    for _ in range(100_000):
+        alpha = np.clip(alpha + (1 - q @ alpha) / np.linalg.norm(q, 2), 0, 1)
+    assert np.allclose(np.append(w, bias), (alpha * signs) @ dense, atol=1e-3)
