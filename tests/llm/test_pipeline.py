@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from parleylake.llm import nbsvm, simhash
 from tests.llm import test_operators as brute
@@ -93,6 +96,22 @@ def test_near_copies_by_the_general_rule_go(spark, sf):
     assert got == want and len(want) < len(set(brute.slow_groups([(i, brute.slow_print(t)) for i, t in texts])))
 
 
+def test_near_copies_among_texts_that_share_a_passage(spark):
+    """Hundreds of texts share half of their words, so all their bands are large; near copies among them still meet."""
+    rng, passage, texts = np.random.default_rng(3), [f"common{k}" for k in range(140)], []
+    for k in range(500):
+        own = [f"own{k}x{j}" for j in range(50)]
+        texts.append((k, " ".join(passage + own)))
+        if k % 4 == 0:
+            own[int(rng.integers(50))] = "changed"
+            texts.append((1000 + k, " ".join(passage + own)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    large = simhash.signatures(docs).select("key", F.explode("bands").alias("band")).groupBy("band").count().where(f"count > {simhash.FEW}").count()
+    want = slow_kept(sorted(texts))
+    got = {r["doc_id"] for r in simhash.deduplicate(docs).collect()}
+    assert large > 20 and got == want and want == set(range(500))
+
+
 def test_texts_of_several_groups_under_one_id_stay(spark):
     fox, wolf = (" ".join(f"{x}{k}" for k in range(40)) for x in ("fox", "wolf"))
     docs = spark.createDataFrame([(1, fox), (1, wolf), (1, wolf), (2, fox), (3, wolf + " end")], "doc_id long, text string")
