@@ -48,26 +48,41 @@ def question_text(query: Column) -> Column:
 # people
 
 
-def person_mentions(queries: DataFrame, aliases: DataFrame, longest: int = 3) -> DataFrame:
+#: Up to so many aliases are looked up within each query's row; a larger dimension is joined with the queries' words.
+MAX_ALIASES = 10_000
+
+
+def _looked_up(rows: DataFrame, aliases: list, longest: int) -> DataFrame:
+    """``rows`` with ``all``, the mentions of each: stretches of words that are among the aliases, found without moving a row."""
+    names = {r["alias"]: r["names"] for r in aliases}
+    beside = rows.sparkSession.createDataFrame([(names,)], "_names map<string,array<string>>")  # one row
+    at = F.sequence(F.lit(0), F.size("parts") - 1)
+
+    def stretches(n: int) -> Column:
+        spot = lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.array_join(F.slice("parts", i + 1, F.lit(n)), "").alias("alias"))
+        inside = F.filter(at, lambda i: (i + n <= F.size("parts")) & F.get("parts", i).rlike(f"^{W}"))
+        return F.filter(F.transform(inside, spot), lambda s: s["alias"].isin(list(names)))
+
+    none = F.array().cast("array<struct<at:int,size:int,alias:string>>")
+    found = F.when(F.size("parts") > 0, F.concat(*[stretches(2 * n - 1) for n in range(1, longest + 1)])).otherwise(none) if names else none
+    rows = rows.withColumn("_found", found).crossJoin(F.broadcast(beside))
+    mention = lambda s: F.struct((-F.char_length(s["alias"])).alias("less"), s["alias"].alias("alias"), s["at"].alias("at"), s["size"].alias("size"), F.try_element_at("_names", s["alias"]).alias("names"))
+    return rows.withColumn("all", F.array_sort(F.transform("_found", mention))).drop("_found", "_names")
+
+
+def person_mentions(queries: DataFrame, aliases: DataFrame, longest: int = 3, max_aliases: int = MAX_ALIASES) -> DataFrame:
     """Per query: ``text``, ``candidates`` (names), ``person`` (if there is one candidate), ``marked`` (the text with a sure mention hidden).
 
-    Stretches of up to ``longest`` words are looked up in the alias dimension (``alias``, ``names``) by
-    equality; of overlapping mentions the longest stays. Queries without mentions keep a row.
+    Stretches of up to ``longest`` words are looked up in the alias dimension (``alias``, ``names``; each alias
+    once) by equality; of overlapping mentions the longest stays. Queries without mentions keep a row.
     """
     parts = F.regexp_extract_all("text", F.lit(rf"{W}+|[^\p{{L}}\p{{N}}_]+"), F.lit(0))
     rows = queries.select("query_id", "query", question_text(F.col("query")).alias("text")).withColumn("parts", parts)
-    spots = rows.select("query_id", "parts", F.posexplode("parts").alias("at", "word")).where(F.col("word").rlike(f"^{W}"))
-    sizes = F.explode(F.array(*[F.lit(2 * n - 1) for n in range(1, longest + 1)]))
-    grams = spots.select("query_id", "at", "parts", sizes.alias("size")).where(F.col("at") + F.col("size") <= F.size("parts"))
-    grams = grams.select("query_id", "at", "size", F.array_join(F.slice("parts", F.col("at") + 1, F.col("size")), "").alias("alias"))
-    found = grams.join(aliases, "alias")
-    order = F.struct((-F.char_length("alias")).alias("less"), "alias", "at", "size", "names")
-    listed = found.groupBy("query_id").agg(F.array_sort(F.collect_list(order)).alias("all"))
+    held = aliases.limit(max_aliases + 1).collect()
     apart = lambda m, k: (m["at"] + m["size"] <= k["at"]) | (k["at"] + k["size"] <= m["at"])
     none = F.slice("all", F.lit(1), F.lit(0))
     kept = F.aggregate("all", none, lambda acc, m: F.when(F.forall(acc, lambda k: apart(m, k)), F.concat(acc, F.array(m))).otherwise(acc))
-    listed = listed.select("query_id", kept.alias("kept"))
-    rows = rows.join(listed, "query_id", "left")
+    rows = (_looked_up(rows, held, longest) if len(held) <= max_aliases else _joined(rows, aliases, longest)).withColumn("kept", kept)
     rows = rows.withColumn("candidates", F.coalesce(F.array_distinct(F.flatten(F.transform("kept", lambda m: m["names"]))), F.array().cast("array<string>")))
     person = F.when(F.size("candidates") == 1, F.col("candidates")[0])
     sure = F.filter("kept", lambda m: F.size(m["names"]) == 1)
@@ -75,6 +90,18 @@ def person_mentions(queries: DataFrame, aliases: DataFrame, longest: int = 3) ->
     return rows.select("query_id", "query", "text", F.array_sort("candidates").alias("candidates"), person.alias("person"), F.when(person.isNotNull(), F.array_join(hide, "")).otherwise(F.col("text")).alias("marked"))
 
 
+def _joined(rows: DataFrame, aliases: DataFrame, longest: int) -> DataFrame:
+    """``rows`` with ``all``, by a join of their stretches of words with the aliases."""
+    spots = rows.select("query_id", "parts", F.posexplode("parts").alias("at", "word")).where(F.col("word").rlike(f"^{W}"))
+    sizes = F.explode(F.array(*[F.lit(2 * n - 1) for n in range(1, longest + 1)]))
+    grams = spots.select("query_id", "at", "parts", sizes.alias("size")).where(F.col("at") + F.col("size") <= F.size("parts"))
+    grams = grams.select("query_id", "at", "size", F.array_join(F.slice("parts", F.col("at") + 1, F.col("size")), "").alias("alias"))
+    found = grams.join(aliases, "alias")
+    order = F.struct((-F.char_length("alias")).alias("less"), "alias", "at", "size", "names")
+    listed = found.groupBy("query_id").agg(F.array_sort(F.collect_list(order)).alias("all"))
+    return rows.join(listed, "query_id", "left")
+
+
 def person_role(marked: Column, person: Column) -> Column:
     """``filter`` if the person is named as the sender, ``none`` if as topic or recipient (or nobody is), else ``bonus``; a joined name never counts."""
     named = rf"{PERSON}(?!\s+(?:and|or|aur)\b)"

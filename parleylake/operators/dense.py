@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from parleylake.functions.text import fold_accents, word_terms
 from parleylake.operators.lexical import best, check_k, top_k
+from parleylake.operators.quality import numbered
 
 DIMS = 64
 #: Queries whose vectors one broadcast matrix holds; more are taken in blocks of so many.
@@ -79,11 +80,11 @@ def dense_scores(queries: DataFrame, rows: DataFrame, key: str, key_type: str, n
     The stated queries (``query_id`` long, ``vector``) are held in blocks of ``QUERY_BLOCK``; rows are read once a block and never moved.
     """
     spark = rows.sparkSession
-    held = queries.select("query_id", "vector").orderBy("query_id").toPandas()  # the stated query set
-    out = None
-    for lo in range(0, max(len(held), 1), QUERY_BLOCK):
-        part = held.iloc[lo : lo + QUERY_BLOCK]
-        block = spark.sparkContext.broadcast((part["query_id"].to_numpy(np.int64), np.array(part["vector"].tolist(), float).reshape(len(part), -1)))
+    asked = numbered(queries.select("query_id", "vector"), ["query_id"], "place")
+    total, out = queries.count(), None
+    for lo in range(0, max(total, 1), QUERY_BLOCK):
+        part = asked.where(F.col("place").between(lo + 1, lo + QUERY_BLOCK)).toPandas()  # at most QUERY_BLOCK vectors
+        block = spark.sparkContext.broadcast((part["query_id"].to_numpy(np.int64), np.array(part["vector"].tolist(), float).reshape(len(part), -1 if len(part) else 0)))
         scored = rows.select(key, "vector").mapInArrow(lambda b, block=block: _products(b, block.value, key, name, low, high, keep), f"query_id long, {key} {key_type}, {name} double")
         out = scored if out is None else out.unionByName(scored)
     return out

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parleylake.functions.text import content_words, zero_overlap
+from parleylake.operators.quality import numbered
 
 METHODS = ["lexical", "semantic", "contextual", "hybrid"]
+UNLIKE = "the methods answered different questions"
 
 
 def run_rows(labels: DataFrame, hits: DataFrame, methods: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def percent(correct: Column, total: Column) -> Column:
 def metrics(rows: DataFrame, by: str = "method") -> DataFrame:
     """(``by``, ``part``, ``correct``, ``total``, ``percent``): Top-1 overall, for hard labels and by category, Recall@3, and the gap of overall and hard.
 
-    One aggregate makes all parts: GROUPING SETS over the method and its categories.
+    One aggregate makes all parts: GROUPING SETS over the method and its categories. Nothing to measure is an error.
     """
     held = rows.groupingSets([[F.col(by)], [F.col(by), F.col("category")]], F.col(by), F.col("category")).agg(
         F.grouping("category").alias("overall"), F.count("*").alias("n"), F.count_if("top1_correct").alias("top1"), F.count_if("recalled_at_3").alias("recall"),
@@ -45,7 +47,22 @@ def metrics(rows: DataFrame, by: str = "method") -> DataFrame:
         F.struct(F.lit("gap").alias("part"), none.alias("correct"), none.alias("total"), F.round(gap, 6).alias("percent")),
     )
     single = F.array(part(F.concat(F.lit("category "), "category"), F.col("top1"), F.col("n")))
-    return held.select(by, F.inline(F.when(F.col("overall") == 1, overall).otherwise(single)))
+    measured = held.select(by, F.inline(F.when(F.col("overall") == 1, overall).otherwise(single)))
+    return guarded(measured, rows.agg(F.count("*").alias("n")), F.col("n") > 0, "an empty evaluation set can't be scored")
+
+
+def guarded(rows: DataFrame, facts: DataFrame, ok: Column, message: str) -> DataFrame:
+    """``rows``, or an error if ``ok`` doesn't hold in a row of ``facts``: a branch of its own without rows, so it runs even if there are no ``rows``."""
+    fails = F.when(F.coalesce(ok, F.lit(False)), F.lit(False)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
+    return rows.unionByName(facts.where(fails).select([F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]))
+
+
+def same_questions(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """Facts and their test for ``guarded``: every method has answered each question once, with the same text, target, category and mark."""
+    asked = F.struct(*[c for c in ("query", "expected_id", "category", "hard", "language") if c in rows.columns])
+    per = rows.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("method").alias("of"), F.count_distinct(asked).alias("kinds"))
+    methods = rows.agg(F.count_distinct("method").alias("methods"))  # one row
+    return per.crossJoin(F.broadcast(methods)), (F.col("n") == F.col("methods")) & (F.col("of") == F.col("methods")) & (F.col("kinds") == 1)
 
 
 def _paired(rows: DataFrame, baseline: str, candidate: str) -> DataFrame:
@@ -53,7 +70,7 @@ def _paired(rows: DataFrame, baseline: str, candidate: str) -> DataFrame:
     pick = lambda name, to: rows.where(F.col("method") == name).select("query_id", *[F.col(c).alias(f"{to}_{c}") for c in ("expected_id", "top1_correct")])
     both = pick(baseline, "old").join(pick(candidate, "new"), "query_id", "full")
     same = F.coalesce(F.col("old_expected_id") == F.col("new_expected_id"), F.lit(False))
-    return both.where(F.when(same, True).otherwise(F.raise_error(F.lit("the methods answered different questions")).cast("boolean")))
+    return both.where(F.when(same, True).otherwise(F.raise_error(F.lit(UNLIKE)).cast("boolean")))
 
 
 def newly(rows: DataFrame, baseline: str, candidate: str) -> DataFrame:
@@ -63,8 +80,10 @@ def newly(rows: DataFrame, baseline: str, candidate: str) -> DataFrame:
 
 
 def compare_methods(rows: DataFrame, baseline: str, candidate: str) -> DataFrame:
-    """Per part of the metrics: both percents, the difference in points, its direction."""
-    return _deltas(metrics(rows.where(F.col("method").isin(baseline, candidate))), candidate)
+    """Per part of the metrics: both percents, the difference in points, its direction. Methods that answered different questions end the job."""
+    both = rows.where(F.col("method").isin(baseline, candidate))
+    deltas = guarded(_deltas(metrics(both), candidate), *same_questions(both), UNLIKE)
+    return guarded(deltas, both.agg(F.count_distinct("method").alias("n")), F.col("n") == len({baseline, candidate}), f"needed: {baseline} and {candidate}")
 
 
 def _deltas(measured: DataFrame, candidate: str) -> DataFrame:
@@ -78,12 +97,10 @@ def _deltas(measured: DataFrame, candidate: str) -> DataFrame:
 
 
 def compare_all(rows: DataFrame, candidate: str = "hybrid", required: list[str] = METHODS) -> DataFrame:
-    """``compare_methods`` of the candidate with each other method; exactly the required methods must be there."""
+    """``compare_methods`` of the candidate with each other method; exactly the required methods must be there, with the same questions."""
     held = rows.select("method").distinct().agg(F.array_sort(F.collect_set("method")).alias("m"))
-    fails = F.when(F.col("m") == F.lit(sorted(required)), F.lit(False)).otherwise(F.raise_error(F.lit(f"needed: {required}")).cast("boolean"))
-    deltas = _deltas(metrics(rows), candidate)
-    guard = held.where(fails).select([F.lit(None).cast(f.dataType).alias(f.name) for f in deltas.schema])
-    return deltas.unionByName(guard)  # no rows or an error: a branch of its own runs even if there is nothing to compare
+    deltas = guarded(_deltas(metrics(rows), candidate), *same_questions(rows), UNLIKE)
+    return guarded(deltas, held, F.col("m") == F.lit(sorted(required)), f"needed: {required}")
 
 
 def comparison_table(measured: DataFrame, by: str = "method") -> DataFrame:
@@ -103,10 +120,17 @@ def best_method(measured: DataFrame, order: list[str] = METHODS) -> DataFrame:
     return measured.where(F.col("part") == "top1").agg(F.max_by("method", F.struct("percent", -place)).alias("method"), F.max("percent").alias("percent"))
 
 
-def failures(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """(``method``, ``query_id``, ``expected_id``, ``rank``, ``id``): what was found instead; queries without hits have one row with nulls."""
-    wrong = rows.where(~F.col("top1_correct")).select("method", "query_id", "expected_id")
-    return wrong.join(hits.where(F.col("rank") <= 3).select("method", "query_id", "rank", "id"), ["method", "query_id"], "left")
+def failures(rows: DataFrame, hits: DataFrame, messages: DataFrame, scores: tuple[str, ...] = ("score",)) -> DataFrame:
+    """Wrong first answers: question, category, expected message, and each of three hits with its scores and message.
+
+    Queries without hits have one row without any; a message that isn't there has no text. ``messages`` has
+    ``id`` and what shall be shown of a message; those columns come once as ``expected_`` and once as they are named.
+    """
+    wrong = rows.where(~F.col("top1_correct")).select("method", "query_id", "query", "category", "expected_id")
+    shown = [c for c in messages.columns if c != "id"]
+    expected = messages.select(F.col("id").alias("expected_id"), *[F.col(c).alias(f"expected_{c}") for c in shown])
+    found = hits.where(F.col("rank") <= 3).select("method", "query_id", "rank", "id", *scores)
+    return wrong.join(found, ["method", "query_id"], "left").join(messages, "id", "left").join(expected, "expected_id", "left")
 
 
 def neighbour_misses(rows: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -149,14 +173,21 @@ def pair_check(labels: DataFrame) -> DataFrame:
     return held.select("pair_id", F.explode(problems).alias("problem"))
 
 
-def label_violations(labels: DataFrame, messages: DataFrame, categories: list[str], id_pattern: str, least_hard: int = 8) -> DataFrame:
-    """(``query_id``, ``rule``) of labels, and rows without an id for rules of the whole set."""
-    rows = attach_target(labels, messages).select("query_id", "target_text", "dangling").join(labels, "query_id")
-    again = labels.groupBy("query").agg(F.count("*").alias("n"))
-    rows = rows.join(again, "query")
+def label_violations(labels: DataFrame, messages: DataFrame, categories: list[str], id_pattern: str, id_format: str = "Q%03d", least_hard: int = 8) -> DataFrame:
+    """(``query_id``, ``rule``) of labels, and rows without an id for rules of the whole set.
+
+    Labels are in the order of ``query_id``, and their own ids follow ``id_format`` from 1; queries are the same
+    if they differ in outer blanks and case only.
+    """
+    rows = attach_target(labels, messages).select("query_id", "target_text", "dangling").join(numbered(labels, ["query_id"], "place"), "query_id")
+    same = F.lower(F.btrim("query"))
+    again = labels.groupBy(same.alias("same")).agg(F.count("*").alias("n"))
+    rows = rows.withColumn("same", same).join(again, "same")
     flag = zero_overlap(content_words(F.col("query")), content_words(F.coalesce("target_text", F.lit(""))))
     rules = {
         "id": F.col("label_id").rlike(id_pattern), "query": F.btrim("query") != "", "target": ~F.col("dangling"), "category": F.col("category").isin(categories), "same query": F.col("n") == 1,
+        "order": F.col("label_id") == F.format_string(id_format, "place"), "query words": F.size(content_words(F.col("query"))) > 0,
+        "target words": F.col("dangling") | (F.size(content_words(F.coalesce("target_text", F.lit("")))) > 0),
         "overlap flag": F.col("dangling") | (F.col("hard") == flag),
     }
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))

@@ -26,7 +26,7 @@ def counts(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     Texts move once, by key, and both channels are counted where they are. Character n-grams are taken from
     a text's distinct words, as often as each word stands there.
     """
-    folded = rows.select(key, fold_accents(F.coalesce(F.col(text), F.lit(""))).alias("folded")).repartition(_partitions(rows), key)
+    folded = rows.select(key, fold_accents(F.coalesce(F.col(text), F.lit(""))).alias("folded")).repartition(key)
     found = folded.select(key, F.explode(word_terms(F.col("folded"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
     tokens = folded.select(key, F.explode(F.split("folded", r"\s+")).alias("token")).groupBy(key, "token").agg(F.count("*").alias("times"))
     grams = tokens.select(key, "times", F.explode(char_terms(F.col("token"))).alias("term")).groupBy(key, "term").agg(F.sum("times").alias("n"))
@@ -41,13 +41,9 @@ def document_frequency(rows: DataFrame, own: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(size)).select("channel", "term", (F.log((1 + F.col("corpus")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def _partitions(rows: DataFrame) -> int:
-    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _weighted(own: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """Terms meet their idf, then move once more, by key; a text's length is taken there and later groups by key need no exchange."""
-    raw = own.join(idf, ["channel", "term"]).select(key, "channel", "term", ((F.log("n") + 1) * F.col("idf")).alias("w")).repartition(_partitions(own), key)
+    raw = own.join(idf, ["channel", "term"]).select(key, "channel", "term", ((F.log("n") + 1) * F.col("idf")).alias("w")).repartition(key)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key, "channel")))
     return raw.select(key, "channel", "term", (F.col("w") / norm).alias("weight"))
 
@@ -76,7 +72,8 @@ def lexical_score(query_weights: DataFrame, postings: DataFrame, key: str = "id"
     if held.num_rows > QUERY_TERMS:
         share = F.when(F.col("channel") == "word", SHARES["word"]).otherwise(SHARES["char"])
         met = query_weights.withColumnRenamed("weight", "qw").join(postings, ["channel", "term"])
-        return met.groupBy("query_id", key).agg(F.sum(F.col("qw") * F.col("weight") * share).alias("lexical"))
+        scores = met.groupBy("query_id", key).agg(F.sum(F.col("qw") * F.col("weight") * share).alias("lexical"))
+        return scores if keep is None else top_k(scores, "lexical", key, keep).drop("rank")
     rows = held.to_pandas()
     rows["t"] = rows.groupby(["channel", "term"]).ngroup()
     rows["at"] = rows.groupby("query_id").ngroup()

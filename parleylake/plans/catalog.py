@@ -30,8 +30,11 @@ def query(sql: str | None = None):
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder name where driver and executors can both write."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="parleylake-")
+    """A new folder name where driver and executors can both write; without ``spark.checkpoint.dir`` only a local session has one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or tempfile.mkdtemp(prefix="parleylake-")
     return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
@@ -57,16 +60,17 @@ def md5_of(array: str, separator: str = "|") -> F.Column:
 
 def _broken_lines(messages: DataFrame) -> DataFrame:
     """JSON lines of which some break one rule each."""
-    k, good = F.crc32("id") % 23, F.to_json(F.struct("id", "timestamp", "sender", "text", "message_type"))
+    k, good = views.number_of("id") % 23, F.to_json(F.struct("id", "timestamp", "sender", "text", "message_type"))
     line = F.when(k == 0, F.substring(good, 1, 20)).when(k == 1, F.lit("[1, 2]")).when(k == 2, F.regexp_replace(good, '"id":"[^"]*"', '"id":5'))
     line = line.when(k == 3, F.regexp_replace(good, r"\+00:00", "")).when(k == 4, F.regexp_replace(good, '"message_type":"[^"]*"', '"message_type":"poem"')).when(k == 5, F.regexp_replace(good, '"text":".*","message_type"', '"text":" ","message_type"'))
     return messages.select(line.otherwise(good).alias("value")).unionByName(messages.where(k == 6).select(good.alias("value")))
 
 
-BROKEN = " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(["no object", "no object", "bad id", "no offset", "unknown type", "bad text", "duplicate id"]))
-
-
-@query()
+@query(f"""WITH {MESSAGES_SQL}, k AS (SELECT *, ('0x' || substr(md5(id), 1, 6))::BIGINT % 23 AS k FROM messages)
+SELECT CASE WHEN k > 1 THEN CASE WHEN k = 2 THEN '5' ELSE id END END AS id, CASE WHEN k > 1 THEN CASE WHEN k = 3 THEN replace(timestamp, '+00:00', '') ELSE timestamp END END AS timestamp, CASE WHEN k > 1 THEN sender END AS sender,
+ CASE WHEN k = 4 THEN 'poem' WHEN k < 2 THEN 'text' ELSE message_type END AS message_type, CASE WHEN k > 1 THEN md5(CASE WHEN k = 5 THEN ' ' ELSE text END) END AS text_md5,
+ CASE k WHEN 0 THEN 'no object' WHEN 1 THEN 'no object' WHEN 2 THEN 'bad id' WHEN 3 THEN 'no offset' WHEN 4 THEN 'unknown type' WHEN 5 THEN 'bad text' WHEN 6 THEN 'duplicate id' ELSE '' END AS problems
+FROM (SELECT * FROM k UNION ALL SELECT * FROM k WHERE k = 6)""")
 def read_messages(spark, sf):
     path = folder(spark)
     _broken_lines(views.messages(spark, sf)).write.text(path)
@@ -118,7 +122,7 @@ def ranked(spark, sf):
     """Rankings of four methods for every label, up to three hits each, made from the order's number."""
     rows = labels(spark, sf).crossJoin(F.broadcast(method_names(spark))).select("*", F.explode(F.lit([1, 2, 3])).alias("rank")).where(F.col("rank") <= (F.col("query_id") + F.col("j")) % 4)
     right = (F.col("query_id") * 7 + F.col("j") * 3 + F.col("rank")) % 5 == 0
-    return rows.select("method", "query_id", "rank", F.when(right, F.col("expected_id")).otherwise((F.col("expected_id").cast("long") + F.col("rank") + 1).cast("string")).alias("id"))
+    return rows.select("method", "query_id", "rank", F.when(right, F.col("expected_id")).otherwise((F.col("expected_id").cast("long") + F.col("rank") + 1).cast("string")).alias("id"), (F.lit(1.0) / F.col("rank")).alias("score"))
 
 
 def runs(spark, sf):
@@ -167,16 +171,35 @@ def known(spark, sf):
     return views.table(spark, sf, "conversations").select(F.col("role").alias("participant_id"), F.col("role").alias("participant_name")).distinct()
 
 
-@query()
+DIRTY_SQL = f"""{RECORDS_SQL},
+placed AS (SELECT *, ('0x' || substr(md5(id), 1, 6))::BIGINT % 97 AS k, printf('MSG_%06d', row_number() OVER (ORDER BY t, id)) AS pos FROM records),
+dirty AS (SELECT t, k, participant_id, episode_id, CASE WHEN k = 7 THEN 'Z' || pos ELSE pos END AS id, CASE WHEN k = 0 THEN '  ' ELSE text END AS text, CASE WHEN k = 3 THEN 'nobody' ELSE sender END AS sender,
+  CASE WHEN k = 1 THEN 'poem' WHEN k = 2 THEN CASE WHEN message_type = 'pdf' THEN 'image' ELSE 'pdf' END ELSE message_type END AS message_type, CASE WHEN k = 4 THEN timestamp[:19] ELSE timestamp END AS timestamp,
+  CASE WHEN k = 5 THEN 'X9' ELSE thread_id END AS thread_id, CASE WHEN k <> 6 THEN topic END AS topic FROM placed)"""
+
+
+@query(f"""WITH {DIRTY_SQL},
+p AS (SELECT *, row_number() OVER (ORDER BY t, id) AS place, ['text', 'forwarded', 'url', 'image', 'pdf', 'voice'] AS types, (SELECT list(DISTINCT role) FROM conversations) AS known,
+  CASE WHEN starts_with(text, '[Image]') THEN 'image' WHEN starts_with(text, '[PDF]') THEN 'pdf' WHEN starts_with(text, '[Voice message]') THEN 'voice' WHEN starts_with(text, 'Forwarded:') THEN 'forwarded' WHEN contains(text, 'https://') THEN 'url' ELSE 'text' END AS told FROM dirty),
+b AS (SELECT id, unnest(['id', 'text', 'known_type', 'type_of_text', 'participant', 'sender', 'topic', 'offset', 'dates', 'thread', 'sequence']) AS rule,
+  unnest([regexp_matches(id, '^MSG_[0-9]{{6,}}$'), trim(text) <> '', list_contains(types, message_type), trim(text) = '' OR NOT list_contains(types, message_type) OR message_type = told, list_contains(known, participant_id), sender = participant_id,
+    topic IS NOT NULL AND trim(topic) <> '' AND trim(episode_id) <> '', ends_with(timestamp, '+00:00'), timestamp[:10] BETWEEN '2026-03-01' AND '2027-12-31', thread_id IS NULL OR thread_id IN ('T0', 'T1', 'T2'), id = printf('MSG_%06d', place)]) AS ok FROM p)
+SELECT id, rule FROM b WHERE NOT ok""")
 def row_violations(spark, sf):
-    return quality.row_violations(views.dirty(spark, sf), known(spark, sf), ["T0", "T1", "T2"], r"^C\d{6,}_\d{2}$", "2026-03-01", "2027-12-31")
+    """Records with ids in sequence, of which some break rules by their number."""
+    return quality.row_violations(views.dirty(quality.assign_ids(views.records(spark, sf))), known(spark, sf), ["T0", "T1", "T2"], r"^MSG_\d{6,}$", "2026-03-01", "2027-12-31", sequence="MSG_%06d")
 
 
-@query(f"""WITH {RECORDS_SQL}, f AS (SELECT count(*) AS n, count(DISTINCT id) AS ids, count(DISTINCT ts::DATE) AS days, count(DISTINCT strftime(ts, '%Y-%m')) AS months, date_diff('day', min(ts)::DATE, max(ts)::DATE) AS span, count(DISTINCT message_type) AS types FROM records),
-l AS (SELECT count_if(t < b) AS late FROM (SELECT t, lag(t) OVER (ORDER BY id) AS b FROM records))
-SELECT unnest(['unique_ids', 'senders', 'chronological', 'message_count', 'days', 'months', 'span', 'all_types']) AS rule, unnest([n = ids, true, late = 0, n = 4634, days >= 184, months >= 6, span >= 183, types = 6]) AS ok FROM f, l""")
+@query(f"""WITH {RECORDS_SQL}, f AS (SELECT count(*) AS n, count(DISTINCT id) AS ids, count(DISTINCT ts::DATE) AS days, count(DISTINCT strftime(ts, '%Y-%m')) AS months, date_diff('day', min(ts)::DATE, max(ts)::DATE) AS span, count(DISTINCT message_type) AS types,
+  list_sort(list(DISTINCT sender)) AS senders, min(ts)::DATE::VARCHAR AS first_day, max(ts)::DATE::VARCHAR AS last_day, arg_min(timestamp, (t, id)) AS start, arg_max(timestamp, (t, id)) AS stop FROM records),
+l AS (SELECT count_if(t < b) AS late FROM (SELECT t, lag(t) OVER (ORDER BY id) AS b FROM records)), k AS (SELECT list_sort(list(DISTINCT role) || ['moderator']) AS names FROM conversations)
+SELECT unnest(['unique_ids', 'senders', 'chronological', 'message_count', 'days', 'months', 'first_day', 'last_day', 'start', 'end', 'span', 'all_types']) AS rule,
+ unnest([n = ids, senders = names, late = 0, n = 4634, days = 184, months = 6, first_day = '2026-03-01', last_day = '2026-08-31', start = '2026-03-01T01:35:00+00:00', stop = '2026-08-31T18:00:00+00:00', span >= 183, types = 6]) AS ok FROM f, l, k""")
 def dataset_violations(spark, sf):
-    return quality.dataset_violations(views.records(spark, sf), known(spark, sf), {"messages": 4634, "days": 184, "months": 6, "span_days": 183})
+    """Against the facts of another corpus, and with a participant who never speaks."""
+    silent = known(spark, sf).unionByName(spark.createDataFrame([("moderator", "moderator")], "participant_id string, participant_name string"))
+    expected = {"messages": 4634, "days": 184, "months": 6, "span_days": 183, "first_day": "2026-03-01", "last_day": "2026-08-31", "start": "2026-03-01T01:35:00+00:00", "end": "2026-08-31T18:00:00+00:00"}
+    return quality.dataset_violations(views.records(spark, sf), silent, expected)
 
 
 @query(f"""WITH {RECORDS_SQL} SELECT unnest(['reply haan', 'reply done', 'reply ok', 'reply 😂', 'mark [Image]', 'mark [PDF]', 'mark [Voice message]', 'mark Forwarded:', 'mark https://', 'mixed language', 'typos', 'topics']) AS rule,
@@ -188,9 +211,17 @@ def variety_checks(spark, sf):
 
 @query(f"""WITH {RECORDS_SQL}, th AS (SELECT thread_id, count(*) AS n, arg_min(id, (t, id)) AS first_id, arg_max(id, (t, id)) AS last_id, md5(string_agg(id, ',' ORDER BY t, id)) AS ids_md5, count(DISTINCT episode_id) AS episodes,
   count(DISTINCT ts::DATE) AS days, count(DISTINCT sender) AS senders, max(t) - min(t) >= 14 * 86400 AS two_weeks, min(t) AS lo, max(t) AS hi FROM records WHERE thread_id IS NOT NULL GROUP BY thread_id)
-SELECT thread_id, n, first_id, last_id, ids_md5, episodes, days, senders, two_weeks, (SELECT count(*) FROM records r WHERE r.t > lo AND r.t < hi AND r.thread_id IS DISTINCT FROM th.thread_id) AS foreign FROM th""".replace("AS foreign", 'AS "foreign"'))
+SELECT thread_id, n, first_id, last_id, ids_md5, episodes, days, senders, two_weeks, (SELECT count(*) FROM records r WHERE r.t > lo AND r.t < hi AND r.thread_id IS DISTINCT FROM th.thread_id) AS "foreign",
+ array_to_string(list_filter([CASE WHEN thread_id = 'T1' THEN 'count' END, CASE WHEN thread_id = 'T1' THEN 'members' END, CASE WHEN NOT (first_id < con AND con < last_id) THEN 'conclusion' END], lambda x: x IS NOT NULL), ',') AS problems
+FROM th JOIN (SELECT thread_id, CASE WHEN thread_id = 'T2' THEN max(id) ELSE arg_min(id, md5(id)) END AS con FROM records WHERE thread_id IS NOT NULL GROUP BY thread_id) USING (thread_id)
+UNION ALL SELECT 'T9', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'missing'""")
 def thread_audit(spark, sf):
-    return quality.thread_audit(views.records(spark, sf))
+    """Against metadata with one message too many in T1, T2's last message for its conclusion, and a thread that isn't there."""
+    records, held = views.records(spark, sf), F.col("thread_id") == "T1"
+    told = quality.thread_audit(records).select("thread_id", (F.col("n") + held.cast("int")).alias("message_count"), F.col("first_id").alias("first_message_id"), F.col("last_id").alias("last_message_id"), F.when(held, "x").otherwise(F.col("ids_md5")).alias("ids_md5"))
+    ends = records.where("thread_id is not null").groupBy("thread_id").agg(F.when(F.first("thread_id") == "T2", F.max("id")).otherwise(F.min_by("id", F.md5("id"))).alias("conclusion_id"))
+    absent = spark.createDataFrame([("T9", 1, "a", "b", "c", "d")], "thread_id string, message_count long, first_message_id string, last_message_id string, ids_md5 string, conclusion_id string")
+    return quality.thread_audit(records, metadata=told.join(ends, "thread_id").unionByName(absent)).withColumn("problems", F.array_join("problems", ","))
 
 
 @query(f"""WITH {RECORDS_SQL}, e AS (SELECT unnest(['text', 'forwarded', 'url', 'image', 'pdf', 'voice', 'poem']) AS value, unnest([4324, 44, 51, 134, 24, 57, 3]) AS expected), o AS (SELECT message_type AS value, count(*) AS n FROM records GROUP BY 1)
@@ -207,9 +238,9 @@ def topic_counts(spark, sf):
     return quality.counts_against(rows, "topic", rows.where("chat_id % 5 > 0").groupBy(F.col("topic").alias("value")).agg(F.count("*").alias("expected")))
 
 
-@query(f"WITH {MESSAGES_SQL} SELECT count(*) AS messages, count(DISTINCT sender) AS participants, arg_min(timestamp, (t, id)) AS first, arg_max(timestamp, (t, id)) AS last, (date_diff('month', min(ts), max(ts)) + 1)::INTEGER AS months FROM messages")
+@query(f"WITH {MESSAGES_SQL} SELECT count(*) AS messages, count(DISTINCT sender) AS participants, arg_min(timestamp, (t, id)) AS first, arg_max(timestamp, (t, id)) AS last, (date_diff('month', min(ts), max(ts)) + 1)::INTEGER AS months, '{REFERENCE_DATE}' AS reference_date, '{ZONE}' AS zone FROM messages")
 def corpus_stats(spark, sf):
-    return quality.corpus_stats(views.messages(spark, sf))
+    return quality.corpus_stats(views.messages(spark, sf), REFERENCE_DATE, ZONE)
 
 
 @query(f"WITH {MESSAGES_SQL} SELECT message_type, count(*) AS n, count_if(len(regexp_extract_all(text, '\\S+')) = 1) AS single_token FROM messages GROUP BY 1")
@@ -232,9 +263,15 @@ def _fingerprint_sql(name: str, columns: str, source: str) -> str:
     return f"SELECT '{name}' AS dataset, count(*) AS n, sum(('0x' || substr(sha256(concat_ws(chr(31), {columns})), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS fingerprint FROM {source}"
 
 
-@query(f"WITH {MESSAGES_SQL} {_fingerprint_sql('messages', 'id, timestamp, sender, text', 'messages')} UNION ALL {_fingerprint_sql('benchmark', 'item_id, text', 'benchmark')}")
+@query(f"""WITH {MESSAGES_SQL}, fp AS ({_fingerprint_sql('messages', 'id, timestamp, sender, text', 'messages')} UNION ALL {_fingerprint_sql('benchmark', 'item_id, text', 'benchmark')} UNION ALL {_fingerprint_sql('labels', 'doc_id, quality', 'labels')})
+SELECT dataset, n, fingerprint, CASE dataset WHEN 'benchmark' THEN 'same' WHEN 'messages' THEN 'changed' ELSE 'not listed' END AS state FROM fp UNION ALL SELECT 'pages', NULL, NULL, 'missing'""")
 def fingerprint(spark, sf):
-    return quality.fingerprint(views.messages(spark, sf), ["id", "timestamp", "sender", "text"], "messages").unionByName(quality.fingerprint(views.table(spark, sf, "benchmark"), ["item_id", "text"], "benchmark"))
+    """Three tables against a manifest that lists one as it is, one with another count, and one that isn't there."""
+    of = lambda name, columns, rows: quality.fingerprint(rows, columns, name)
+    bench = of("benchmark", ["item_id", "text"], views.table(spark, sf, "benchmark"))
+    found = of("messages", ["id", "timestamp", "sender", "text"], views.messages(spark, sf)).unionByName(bench).unionByName(of("labels", ["doc_id", "quality"], views.table(spark, sf, "labels")))
+    manifest = bench.unionByName(spark.createDataFrame([("messages", -1, "0"), ("pages", 1, "0")], "dataset string, n long, fingerprint string"))
+    return quality.against_manifest(found, manifest)
 
 
 # text
@@ -287,9 +324,11 @@ def content_words(spark, sf):
 @query(f"""WITH l AS (SELECT *, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS other FROM documents), c AS (SELECT doc_id, {CONTENT_SQL.format('text')} AS a, {CONTENT_SQL.format('other')} AS b FROM l WHERE other IS NOT NULL)
 SELECT doc_id, len(list_intersect(a, b))::INTEGER AS shared, len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) = 0 AS zero_overlap FROM c""")
 def zero_overlap(spark, sf):
-    from pyspark.sql.window import Window
-
-    rows = views.table(spark, sf, "documents").withColumn("other", F.lead("text").over(Window.partitionBy("source").orderBy("doc_id"))).where("other is not null")
+    """Each document and the next of its source: narrow rows are numbered by ranges, and texts meet by id."""
+    placed = written(quality.numbered(views.table(spark, sf, "documents").select("source", "doc_id"), ["source", "doc_id"], "place"))
+    after = placed.select("source", F.col("doc_id").alias("next_id"), (F.col("place") - 1).alias("place"))
+    texts = documents(spark, sf)
+    rows = placed.join(after, ["source", "place"]).select("doc_id", "next_id").join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("next_id"), F.col("text").alias("other")), "next_id").where("other is not null")
     rows = rows.select("doc_id", T.content_words(F.col("text")).alias("a"), T.content_words(F.col("other")).alias("b"))
     return rows.select("doc_id", F.size(F.array_intersect("a", "b")).alias("shared"), T.zero_overlap(F.col("a"), F.col("b")).alias("zero_overlap"))
 
@@ -774,9 +813,11 @@ def best_method(spark, sf):
     return evaluate.best_method(evaluate.metrics(runs(spark, sf)))
 
 
-@query(f"WITH {HITS_SQL} SELECT method, query_id, expected_id, rank, id FROM (SELECT * FROM runs WHERE NOT top1) LEFT JOIN hits USING (method, query_id)")
+@query(f"""WITH {HITS_SQL} SELECT method, query_id, query, category, expected_id, rank, hits.id, 1.0::DOUBLE / rank AS score, m.c_name AS text, e.c_name AS expected_text
+FROM (SELECT * FROM runs WHERE NOT top1) LEFT JOIN hits USING (method, query_id) LEFT JOIN customer m ON m.c_custkey::VARCHAR = hits.id LEFT JOIN customer e ON e.c_custkey::VARCHAR = expected_id""")
 def failures(spark, sf):
-    return evaluate.failures(runs(spark, sf), ranked(spark, sf))
+    people = views.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("text"))
+    return evaluate.failures(runs(spark, sf), ranked(spark, sf), people)
 
 
 @query(f"WITH {SCORED_SQL}, {TARGETS_SQL}, one AS (SELECT query_id, id FROM (SELECT query_id, id, {TOP_SQL} AS r FROM bal) WHERE r = 1) SELECT 'hybrid' AS method, query_id, one.id FROM one JOIN tg USING (query_id) JOIN cx ON cx.id = one.id WHERE one.id <> expected_id AND list_contains(list_transform(ctx, lambda m: m.id), expected_id)")
@@ -804,9 +845,10 @@ def target_rank(spark, sf):
     return fuse.target_rank(written(scored(spark, sf)[0]), targets(spark, sf))
 
 
-@query(f"WITH {LABELS_SQL} SELECT query_id, expected_id, c_name AS target_text, c_custkey IS NULL AS dangling FROM labels_ LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 > 0) ON c_custkey::VARCHAR = expected_id")
+@query(f"WITH {LABELS_SQL} SELECT query_id, expected_id, c_name AS target_text, c_custkey IS NULL AS dangling FROM labels_ LEFT JOIN (SELECT *, CASE WHEN c_custkey % 10 = 0 THEN 'gone ' ELSE '' END || c_custkey AS id FROM customer) ON id = expected_id")
 def attach_target(spark, sf):
-    people = views.table(spark, sf, "customer").where("c_custkey % 10 > 0").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("text"))
+    """Customers are the targets; every tenth has another id."""
+    people = views.table(spark, sf, "customer").select(renamed("c_custkey").alias("id"), F.col("c_name").alias("text"))
     return evaluate.attach_target(labels(spark, sf), people)
 
 
@@ -815,12 +857,21 @@ def pair_check(spark, sf):
     return evaluate.pair_check(labels(spark, sf))
 
 
-@query(f"""WITH {LABELS_SQL}, t AS (SELECT c_custkey::VARCHAR AS id, 'order budget of ' || c_mktsegment AS text FROM customer WHERE c_custkey % 10 > 0), j AS (SELECT l.*, id IS NULL AS dangling FROM labels_ l LEFT JOIN t ON id = expected_id)
-SELECT query_id, 'target' AS rule FROM j WHERE dangling UNION ALL SELECT query_id, 'category' FROM j WHERE category = '5-LOW' UNION ALL SELECT query_id, 'overlap flag' FROM j WHERE NOT dangling AND hard""")
+def renamed(key: str) -> F.Column:
+    """A customer's id as text; every tenth is another one."""
+    return F.concat(F.when(F.col(key) % 10 == 0, "gone ").otherwise(""), F.col(key).cast("string"))
+
+
+@query(f"""WITH {LABELS_SQL}, t AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN 'gone ' ELSE '' END || c_custkey AS id, CASE WHEN c_custkey % 10 = 1 THEN 'the of' ELSE 'order budget of ' || c_mktsegment END AS text FROM customer),
+ l AS (SELECT *, CASE WHEN query_id % 7 = 0 THEN ' ORDER Budget ' WHEN query_id % 7 = 1 THEN 'the of' ELSE query END AS q, row_number() OVER (ORDER BY query_id) AS place FROM labels_),
+ j AS (SELECT l.*, text, id IS NULL AS dangling, count(*) OVER (PARTITION BY lower(trim(q))) AS same FROM l LEFT JOIN t ON id = expected_id)
+SELECT query_id, 'target' AS rule FROM j WHERE dangling UNION ALL SELECT query_id, 'category' FROM j WHERE category = '5-LOW' UNION ALL SELECT query_id, 'same query' FROM j WHERE same > 1 UNION ALL SELECT query_id, 'order' FROM j WHERE label_id <> printf('Q%03d', place)
+UNION ALL SELECT query_id, 'query words' FROM j WHERE q = 'the of' UNION ALL SELECT query_id, 'target words' FROM j WHERE text = 'the of' UNION ALL SELECT query_id, 'overlap flag' FROM j WHERE NOT dangling AND hard""")
 def label_violations(spark, sf):
-    """Customers are the targets; every tenth is gone, and one category is unknown. All targets share words with their queries, so no label is hard."""
-    people = views.table(spark, sf, "customer").where("c_custkey % 10 > 0").select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("order budget of "), "c_mktsegment").alias("text"))
-    return evaluate.label_violations(labels(spark, sf), people, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"], r"^Q\d{3,}$")
+    """Customers are the targets; every tenth has another id, one in ten has no content words, nor has one query in seven, another one in seven is the same; one category is unknown. No target is without common words where both have any, so no label is hard."""
+    people = views.table(spark, sf, "customer").select(renamed("c_custkey").alias("id"), F.when(F.col("c_custkey") % 10 == 1, "the of").otherwise(F.concat(F.lit("order budget of "), "c_mktsegment")).alias("text"))
+    asked = labels(spark, sf).withColumn("query", F.when(F.col("query_id") % 7 == 0, " ORDER Budget ").when(F.col("query_id") % 7 == 1, "the of").otherwise(F.col("query")))
+    return evaluate.label_violations(asked, people, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"], r"^Q\d{3,}$")
 
 
 @query(f"WITH {RECORDS_SQL},{ASKS_SQL}, el AS (SELECT query_id, id FROM asks, messages WHERE k = 0 OR (k = 1 AND sender = 'assistant') OR (k = 2 AND strftime(ts + INTERVAL 330 MINUTE, '%Y-%m') = '2026-03') OR (k = 3 AND message_type = 'image')), {TARGETS_SQL} SELECT count(DISTINCT id) AS targets, coalesce(string_agg(DISTINCT thread_id, ',' ORDER BY thread_id), '') AS threads FROM tg JOIN records ON id = expected_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parleylake.functions.text import MESSAGE_TYPES, normalize_text
+from parleylake.operators.evaluate import guarded
 
 FIELDS = ["id", "timestamp", "sender", "text"]
 
@@ -13,20 +14,21 @@ FIELDS = ["id", "timestamp", "sender", "text"]
 def read_messages(spark: SparkSession, path: str, fail_fast: bool = False) -> DataFrame:
     """JSON lines as messages with ``problems``: an empty array for a good row; ``line`` keeps the source.
 
-    Rules: the line is an object; id, timestamp, sender and text are non-blank strings; the timestamp
-    has an offset; the type is known (absent: text); the id occurs once. With ``fail_fast`` the first
-    bad row that a task meets ends the job with its line.
+    Rules: the line is an object (a blank one isn't); id, timestamp, sender and text are non-blank strings;
+    the timestamp has an offset; the type is a known string (absent: text); the id occurs once. With
+    ``fail_fast`` the first bad row that a task meets ends the job with its line, and so does an empty corpus.
     """
-    lines = spark.read.text(path).select(F.col("value").alias("line")).where(F.btrim("line") != "")
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
     held = F.try_parse_json("line")
     kind = lambda name: F.schema_of_variant(F.try_variant_get(F.col("held"), f"$.{name}", "variant"))
-    rows = lines.withColumn("held", held).select("line", "held", *[F.try_variant_get("held", f"$.{c}", "string").alias(c) for c in [*FIELDS, "message_type"]], *[kind(c).alias(f"kind_{c}") for c in FIELDS])
+    rows = lines.withColumn("held", held).select("line", "held", *[F.try_variant_get("held", f"$.{c}", "string").alias(c) for c in [*FIELDS, "message_type"]], *[kind(c).alias(f"kind_{c}") for c in [*FIELDS, "message_type"]])
     is_object = F.coalesce(F.startswith(F.schema_of_variant("held"), F.lit("OBJECT")), F.lit(False))
-    rows = rows.withColumn("message_type", F.coalesce("message_type", F.lit("text")))
+    typed = F.when(F.col("kind_message_type").isNull(), F.lit("text")).when(F.col("kind_message_type") == "STRING", F.col("message_type"))  # a null in the line is no string
+    rows = rows.withColumn("message_type", typed)
     good = lambda c: F.coalesce((F.col(f"kind_{c}") == "STRING") & (F.btrim(F.col(c)) != ""), F.lit(False))
     offset = F.col("timestamp").rlike(r"(Z|[+-]\d{2}:?\d{2})$") & F.col("timestamp").try_cast("timestamp").isNotNull()
     problems = F.when(~is_object, F.array(F.lit("no object"))).otherwise(F.array_compact(F.array(
-        *[F.when(~good(c), F.lit(f"bad {c}")) for c in FIELDS], F.when(good("timestamp") & ~offset, F.lit("no offset")), F.when(~F.col("message_type").isin(MESSAGE_TYPES), F.lit("unknown type"))
+        *[F.when(~good(c), F.lit(f"bad {c}")) for c in FIELDS], F.when(good("timestamp") & ~offset, F.lit("no offset")), F.when(~F.coalesce(F.col("message_type").isin(MESSAGE_TYPES), F.lit(False)), F.lit("unknown type"))
     )))
     rows = rows.withColumn("problems", problems)
     twice = rows.where(good("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("twice"))
@@ -34,7 +36,8 @@ def read_messages(spark: SparkSession, path: str, fail_fast: bool = False) -> Da
     if fail_fast:
         rows = rows.withColumn("problems", F.when(F.size("problems") > 0, F.raise_error(F.concat_ws(": ", F.array_join("problems", ", "), "line"))).otherwise(F.col("problems")))
     ts = F.when(F.size("problems") == 0, F.col("timestamp").try_cast("timestamp"))
-    return rows.select("id", "timestamp", ts.alias("ts"), "sender", "text", "message_type", "problems", "line")
+    found = rows.select("id", "timestamp", ts.alias("ts"), "sender", "text", "message_type", "problems", "line")
+    return guarded(found, lines.agg(F.count("*").alias("n")), F.col("n") > 0, "the corpus is empty") if fail_fast else found
 
 
 def write_messages(messages: DataFrame, path: str) -> None:

@@ -12,7 +12,10 @@ SCHEMA = "id string, timestamp string, sender string, text string, message_type
 
 
 def read_messages(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
-    """JSON lines of a growing folder: message fields, ``ts`` and ``problems``; an id that comes again within ``late`` is dropped."""
+    """JSON lines of a growing folder: message fields, ``ts`` and ``problems``; an id that comes again within ``late`` is dropped.
+
+    Only good rows are compared by their ids: refused ones, which may have none, all stay.
+    """
     rows = spark.readStream.schema(SCHEMA).json(path)
     rows = rows.withColumn("ts", F.when(F.col("timestamp").rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.col("timestamp").try_cast("timestamp")))
     blank = lambda c: F.coalesce(F.btrim(c) == "", F.lit(True))
@@ -21,7 +24,8 @@ def read_messages(spark: SparkSession, path: str, late: str = "1 hour") -> DataF
         F.when(F.coalesce(F.col("message_type") != classify_type(F.col("text")), F.lit(False)), F.lit("type of text")),
     ))
     rows = rows.withColumn("message_type", F.coalesce("message_type", classify_type(F.col("text")))).withColumn("problems", problems)
-    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
+    good, refused = F.size("problems") == 0, F.size("problems") > 0
+    return rows.where(good).withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"]).unionByName(rows.where(refused))
 
 
 def hourly_counts(messages: DataFrame, window: str = "1 hour") -> DataFrame:

@@ -303,3 +303,36 @@ def test_store_encodes_only_new_texts(spark, tmp_path):
     path = f"{tmp_path}/store"
     assert io.extend_store(texts, path, "one", vector).count() == 2 and io.extend_store(texts, path, "one", vector).count() == 2
     assert io.extend_store(texts, path, "two", vector).count() == 4
+
+
+def test_mentions_by_look_up_and_by_join(spark):
+    """Both ways of finding people give the same rows, with overlapping, shared, repeated and no names, and null and empty questions."""
+    people = spark.createDataFrame([(0, "Ann Lee"), (1, "Bob Lee"), (2, "Ann Marie Ray"), (3, "É Zoë")], "ord int, name string")
+    asked = ["what did ann say", "Ann Lee, Bob Lee and ann marie ray", "Lee?", "  ", "", None, "ANN  LEE ann lee", "zoë's é zoë", "no one", "ray bob", "annlee ann-lee"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    aliases = io.alias_dim(people)
+    one, two = (sorted(map(repr, annotate.person_mentions(queries, aliases, max_aliases=n).collect())) for n in (annotate.MAX_ALIASES, 2))
+    assert one == two and len(one) == len(asked)
+    none = annotate.person_mentions(queries, aliases.limit(0)).collect()
+    assert len(none) == len(asked) and all(r["person"] is None and list(r["candidates"]) == [] for r in none)
+
+
+def test_dense_blocks_of_queries(spark, monkeypatch):
+    """Queries are held a block at a time; the scores are those of one block."""
+    rows = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(5)], "id string, vector array<double>")
+    queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(11)], "query_id long, vector array<double>").repartition(3)
+    whole = sorted(dense.dense_scores(queries, rows, "id", "string", "s", -99.0, 99.0).collect())
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 4)
+    assert sorted(dense.dense_scores(queries, rows, "id", "string", "s", -99.0, 99.0).collect()) == whole and len(whole) == 55
+    assert dense.dense_scores(queries.limit(0), rows, "id", "string", "s", -1.0, 1.0).count() == 0
+
+
+def test_lexical_keep_on_both_ways(spark, monkeypatch):
+    messages = spark.createDataFrame([(str(i), "budget " * (i % 3 + 1) + f"word{i}") for i in range(12)], "id string, text string")
+    queries = spark.createDataFrame([(1, "budget word3"), (2, "nothing")], "query_id long, query string")
+    postings, idf = lexical.tfidf_index(messages)
+    asked = lexical.tfidf_query(queries, idf)
+    one = sorted((r["query_id"], r["id"], round(r["lexical"], 9)) for r in lexical.top_k(lexical.lexical_score(asked, postings, "id", 3), "lexical", "id", 3).collect())
+    monkeypatch.setattr(lexical, "QUERY_TERMS", 1)
+    two = sorted((r["query_id"], r["id"], round(r["lexical"], 9)) for r in lexical.lexical_score(asked, postings, "id", 3).collect())
+    assert one == two and len(one) == 3
