@@ -105,7 +105,8 @@ def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_
     sets = per.where(F.size("w_ids") > 0).select("w_ids").distinct()
     named = windows.select(_window_id(), "w_item")
     found = sets.select("w_ids", F.explode("w_ids").alias("w_id")).join(named, "w_id").groupBy("w_ids").agg(F.array_sort(F.collect_set("w_item")).alias("found"))
-    per = per.join(found, "w_ids", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+    clean = per.where(F.size("w_ids") == 0).withColumn("found", F.array().cast("array<string>"))  # most rows: they don't move for the look-up
+    per = per.where(F.size("w_ids") > 0).join(found, "w_ids").unionByName(clean)
     merged = F.aggregate(
         "spans",
         F.array().cast("array<struct<start:int,end:int>>"),
