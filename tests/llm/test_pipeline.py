@@ -116,3 +116,27 @@ def test_texts_of_several_groups_under_one_id_stay(spark):
     fox, wolf = (" ".join(f"{x}{k}" for k in range(40)) for x in ("fox", "wolf"))
     docs = spark.createDataFrame([(1, fox), (1, wolf), (1, wolf), (2, fox), (3, wolf + " end")], "doc_id long, text string")
     assert sorted(simhash.deduplicate(docs).collect()) == [(1, fox), (1, wolf)]
+
+
+def test_sketches_keep_pairs_at_the_limit():
+    """Sets whose similarity is 0.8 exactly, small and large, pass the count of unlike MinHashes; it is the count of unlike bits."""
+    rng, seen = np.random.default_rng(5), []
+    for size in (4, 8, 40, 400) * 150:
+        shared, one, two = np.split(rng.integers(0, 2**64, size + size // 4, dtype=np.uint64), [size, size + size // 8])
+        least = [simhash.minima(np.concatenate([shared, own])) for own in (one, two)]
+        a, b = (np.array(simhash.sketch(x), np.int64).reshape(simhash.BITS, 2) for x in least)
+        either = np.bitwise_or.reduce(a ^ b, axis=0)
+        low = [(x >> np.uint64(simhash.SHIFT)) & np.uint64(2**simhash.BITS - 1) for x in least]
+        seen.append(sum(int(x).bit_count() for x in either.view(np.uint64)))
+        assert seen[-1] == (low[0] != low[1]).sum()
+    assert max(seen) <= simhash.MOST_UNLIKE and 17 < np.mean(seen) < 28
+
+
+def test_unlike_counts_minhashes(spark):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(12)]
+    least = [simhash.minima(x) for x in sets]
+    rows = [(i, j, simhash.sketch(least[i]), simhash.sketch(least[j])) for i in range(12) for j in range(12)]
+    got = spark.createDataFrame(rows, "i int, j int, a array<long>, b array<long>").select("i", "j", simhash.unlike("a", "b").alias("n")).collect()
+    low = [(x >> np.uint64(simhash.SHIFT)) & np.uint64(2**simhash.BITS - 1) for x in least]
+    assert all(r["n"] == (low[r["i"]] != low[r["j"]]).sum() for r in got) and len(got) == 144
