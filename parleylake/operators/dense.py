@@ -79,28 +79,41 @@ def dense_scores(queries: DataFrame, rows: DataFrame, key: str, key_type: str, n
 
     The stated queries (``query_id`` long, ``vector``) are held in blocks of ``QUERY_BLOCK``; rows are read once a block and never moved.
     """
+    return _by_blocks(queries, rows, key, key_type, {name: "vector"}, low, high, keep)
+
+
+def dense_channels(queries: DataFrame, rows: DataFrame, key: str, key_type: str, channels: dict[str, str], low: float, high: float) -> DataFrame:
+    """(``query_id``, ``key``, a score a channel): products of each query with several vectors of a row at once.
+
+    ``channels`` gives the column of ``rows`` that a score is taken from, so the channels of a pair never have to be joined.
+    """
+    return _by_blocks(queries, rows, key, key_type, channels, low, high, None)
+
+
+def _by_blocks(queries: DataFrame, rows: DataFrame, key: str, key_type: str, channels: dict[str, str], low: float, high: float, keep: int | None) -> DataFrame:
     spark = rows.sparkSession
     asked = numbered(queries.select("query_id", "vector"), ["query_id"], "place")
+    schema = f"query_id long, {key} {key_type}, " + ", ".join(f"{name} double" for name in channels)
     total, out = queries.count(), None
     for lo in range(0, max(total, 1), QUERY_BLOCK):
         part = asked.where(F.col("place").between(lo + 1, lo + QUERY_BLOCK)).toPandas()  # at most QUERY_BLOCK vectors
         block = spark.sparkContext.broadcast((part["query_id"].to_numpy(np.int64), np.array(part["vector"].tolist(), float).reshape(len(part), -1 if len(part) else 0)))
-        scored = rows.select(key, "vector").mapInArrow(lambda b, block=block: _products(b, block.value, key, name, low, high, keep), f"query_id long, {key} {key_type}, {name} double")
+        scored = rows.select(key, *channels.values()).mapInArrow(lambda b, block=block: _products(b, block.value, key, channels, low, high, keep), schema)
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
-def _products(batches: Iterator[pa.RecordBatch], block, key: str, name: str, low: float, high: float, keep: int | None) -> Iterator[pa.RecordBatch]:
+def _products(batches: Iterator[pa.RecordBatch], block, key: str, channels: dict[str, str], low: float, high: float, keep: int | None) -> Iterator[pa.RecordBatch]:
+    """``keep`` is for one channel, as each channel has its own best rows."""
     ids, matrix = block
     for batch in batches:
         if not batch.num_rows or not len(ids):
             continue
         for lo in range(0, batch.num_rows, 2048):
             part = batch.slice(lo, 2048)
-            scores = np.clip(np.array(part.column("vector").to_pylist(), float) @ matrix.T, low, high)
-            keys = part.column(key)
-            at, of = best(scores, keep)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[of]), keys.take(pa.array(at)), pa.array(scores[at, of])], ["query_id", key, name])
+            scores = [np.clip(np.array(part.column(vector).to_pylist(), float) @ matrix.T, low, high) for vector in channels.values()]
+            at, of = best(scores[0], keep)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[of]), part.column(key).take(pa.array(at)), *(pa.array(s[at, of]) for s in scores)], ["query_id", key, *channels])
 
 
 def semantic_topk(queries: DataFrame, rows: DataFrame, k: int = 5, key: str = "id", key_type: str = "string") -> DataFrame:

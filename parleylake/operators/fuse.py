@@ -30,22 +30,33 @@ def weights(constraints: DataFrame, chosen: DataFrame) -> DataFrame:
     )
 
 
-def eligible(constraints: DataFrame, messages: DataFrame, zone: str) -> DataFrame:
-    """(``query_id``, ``id``) of messages that meet all of a query's hard constraints; those that are absent hold.
-
-    A stated query set against all messages: each message row is read once and tested against the broadcast constraints.
-    """
+def _seen(messages: DataFrame, zone: str) -> DataFrame:
+    """What the constraints look at in a message."""
     day, hour = local_time(F.col("ts"), zone)
-    rows = messages.select("id", "sender", F.col("message_type").alias("own_type"), day.alias("day"), hour.alias("hour"))
+    return messages.select("id", "sender", F.col("message_type").alias("own_type"), day.alias("day"), hour.alias("hour"))
+
+
+def _asked(constraints: DataFrame) -> DataFrame:
+    return constraints.select("query_id", "person", "mode", "start", "end", "hour_lo", "hour_hi", "message_type")
+
+
+def _meets() -> Column:
+    """Whether a message meets all of a query's hard constraints; those that are absent hold."""
     either = lambda absent, test: absent | F.coalesce(test, F.lit(False))
-    ok = (
+    return (
         either(F.col("mode") != "filter", F.col("sender") == F.col("person"))
         & either(F.col("start").isNull(), F.col("day").between(F.col("start"), F.col("end")))
         & either(F.col("hour_lo").isNull(), (F.col("hour") >= F.col("hour_lo")) & (F.col("hour") < F.col("hour_hi")))
         & either(F.col("message_type").isNull(), F.col("own_type") == F.col("message_type"))
     )
-    asked = constraints.select("query_id", "person", "mode", "start", "end", "hour_lo", "hour_hi", "message_type")
-    return rows.join(F.broadcast(asked), ok).select("query_id", "id")
+
+
+def eligible(constraints: DataFrame, messages: DataFrame, zone: str) -> DataFrame:
+    """(``query_id``, ``id``) of messages that meet all of a query's hard constraints; those that are absent hold.
+
+    A stated query set against all messages: each message row is read once and tested against the broadcast constraints.
+    """
+    return _seen(messages, zone).join(F.broadcast(_asked(constraints)), _meets()).select("query_id", "id")
 
 
 def eligible_counts(constraints: DataFrame, allowed: DataFrame, messages: DataFrame) -> DataFrame:
@@ -61,17 +72,16 @@ def align_scores(base: DataFrame, scores: DataFrame, name: str) -> DataFrame:
     return base.join(scores, ["query_id", "id"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
-def hybrid_signals(dense: DataFrame, lexical: DataFrame, constraints: DataFrame, messages: DataFrame, allowed: DataFrame) -> DataFrame:
+def hybrid_signals(dense: DataFrame, lexical: DataFrame, constraints: DataFrame, messages: DataFrame, zone: str) -> DataFrame:
     """Per query and message: semantic, contextual, lexical, person_match, date_match, eligible.
 
-    ``dense`` has (query_id, id, semantic, contextual) in [0, 1] of every message.
+    ``dense`` has (query_id, id, semantic, contextual) in [0, 1] of every message. Constraints are tested on its
+    rows, so no second table of queries and messages is made for them.
     """
-    rows = align_scores(dense, lexical, "lexical")
-    asked = constraints.select("query_id", "person", "mode", F.col("start").isNotNull().alias("dated"))
-    rows = rows.join(asked, "query_id").join(messages.select("id", "sender"), "id")
-    rows = rows.join(allowed.withColumn("eligible", F.lit(True)), ["query_id", "id"], "left").withColumn("eligible", F.coalesce("eligible", F.lit(False)))
+    rows = align_scores(dense, lexical, "lexical").join(_asked(constraints), "query_id").join(_seen(messages, zone), "id")
+    rows = rows.withColumn("eligible", F.coalesce(_meets(), F.lit(False)))
     person = F.coalesce((F.col("mode") != "none") & (F.col("sender") == F.col("person")), F.lit(False))
-    return rows.select("query_id", "id", "semantic", "contextual", "lexical", person.alias("person_match"), (F.col("dated") & F.col("eligible")).alias("date_match"), "eligible")
+    return rows.select("query_id", "id", "semantic", "contextual", "lexical", person.alias("person_match"), (F.col("start").isNotNull() & F.col("eligible")).alias("date_match"), "eligible")
 
 
 def hybrid_score() -> Column:

@@ -630,15 +630,13 @@ def signals(spark, sf):
     """All channels of every question and message, in one written table that the profiles share."""
     m, q, c = views.messages(spark, sf), asks(spark, sf), written(constraints(spark, sf))
     vectors = q.select("query_id", dense.hashed_vector(F.col("query")).alias("vector"))
-    own = written(spread(m).select("id", dense.hashed_vector(F.col("text")).alias("vector")))
-    around = written(context.fit_budget(contexts(spark, sf), 1_000_000).select("id", dense.hashed_vector(F.col("fitted")).alias("vector")))
-    semantic = dense.dense_scores(vectors, own, "id", "string", "semantic", 0.0, 1.0)
-    contextual = dense.dense_scores(vectors, around, "id", "string", "contextual", 0.0, 1.0)
+    own = spread(m).select("id", dense.hashed_vector(F.col("text")).alias("own"))
+    around = context.fit_budget(contexts(spark, sf), 1_000_000).select("id", dense.hashed_vector(F.col("fitted")).alias("around"))
+    both = dense.dense_channels(vectors, written(own.join(around, "id")), "id", "string", {"semantic": "own", "contextual": "around"}, 0.0, 1.0)
     counted = written(lexical.counts(m, "id"))
     idf = written(lexical.document_frequency(m, counted))
     scores = lexical.lexical_score(lexical.tfidf_query(q, idf), lexical._weighted(counted, idf, "id"))
-    both = semantic.join(contextual, ["query_id", "id"])
-    return written(fuse.hybrid_signals(both, scores, c, m, fuse.eligible(c, m, ZONE))), c
+    return written(fuse.hybrid_signals(both, scores, c, m, ZONE)), c
 
 
 def scored(spark, sf, profile: str | None = "balanced"):

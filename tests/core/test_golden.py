@@ -327,6 +327,31 @@ def test_dense_blocks_of_queries(spark, monkeypatch):
     assert dense.dense_scores(queries.limit(0), rows, "id", "string", "s", -1.0, 1.0).count() == 0
 
 
+def test_channels_of_a_pair_in_one_pass(spark, monkeypatch):
+    """Each channel has the scores that it has alone, in one block or several."""
+    rows = spark.createDataFrame([(str(i), [float(i), 1.0], [1.0, -float(i)]) for i in range(5)], "id string, x array<double>, y array<double>")
+    queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(11)], "query_id long, vector array<double>")
+    alone = [dense.dense_scores(queries, rows.select("id", F.col(c).alias("vector")), "id", "string", c, -9.0, 9.0) for c in ("x", "y")]
+    want = sorted(alone[0].join(alone[1], ["query_id", "id"]).collect())
+    for size in (dense.QUERY_BLOCK, 4):
+        monkeypatch.setattr(dense, "QUERY_BLOCK", size)
+        got = dense.dense_channels(queries, rows, "id", "string", {"x": "x", "y": "y"}, -9.0, 9.0)
+        assert sorted(got.collect()) == want and len(want) == 55
+
+
+def test_signals_test_constraints_as_eligible_does(spark):
+    rows = spark.createDataFrame([(str(i), datetime.datetime(2026, 8, 29 + i % 3, 6 * i % 24), None if i == 7 else "pq"[i % 2], "text" if i % 3 else None) for i in range(8)], "id string, ts timestamp, sender string, message_type string")
+    day = datetime.date(2026, 8, 30)
+    asked = [(1, None, "none", day, day, None, None, None), (2, "p", "filter", None, None, None, None, None), (3, "q", "boost", None, None, 6, 12, None), (4, None, "none", None, None, None, None, "text"), (5, None, "none", None, None, None, None, None)]
+    asked = spark.createDataFrame(asked, "query_id long, person string, mode string, start date, end date, hour_lo int, hour_hi int, message_type string")
+    pairs = asked.select("query_id").crossJoin(rows.select("id")).withColumns({"semantic": F.lit(0.5), "contextual": F.lit(0.5)})
+    lexical = pairs.where("query_id = 1").select("query_id", "id", F.lit(0.25).alias("lexical"))
+    got = fuse.hybrid_signals(pairs, lexical, asked, rows, "Asia/Kolkata")
+    want = fuse.eligible(asked, rows, "Asia/Kolkata")
+    assert got.count() == 40 and sorted(got.where("eligible").select("query_id", "id").collect()) == sorted(want.collect())
+    assert got.where("date_match").select("query_id", "id").exceptAll(want.where("query_id = 1")).count() == 0
+
+
 def test_lexical_keep_on_both_ways(spark, monkeypatch):
     messages = spark.createDataFrame([(str(i), "budget " * (i % 3 + 1) + f"word{i}") for i in range(12)], "id string, text string")
     queries = spark.createDataFrame([(1, "budget word3"), (2, "nothing")], "query_id long, query string")
