@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from parleylake.functions.text import fold_accents, word_terms
 from parleylake.operators.lexical import best, check_k, top_k
-from parleylake.operators.quality import numbered
 
 DIMS = 64
-#: Queries whose vectors one broadcast matrix holds; more are taken in blocks of so many.
-QUERY_BLOCK = 4096
+#: Queries whose vectors one broadcast matrix holds; more are taken in blocks of so many, each with chunks of rows.
+QUERY_BLOCK, ROW_CHUNK = 4096, 65_536
 
 
 def hashed_vector(text: Column, dims: int = DIMS) -> Column:
@@ -77,7 +76,8 @@ def check_vectors(rows: DataFrame, vector: str, dims: int, texts: int) -> DataFr
 def dense_scores(queries: DataFrame, rows: DataFrame, key: str, key_type: str, name: str, low: float, high: float, keep: int | None = None) -> DataFrame:
     """(``query_id``, ``key``, ``name``): products of query and row vectors, clipped; with ``keep``, each Arrow batch gives its best ``keep`` a query only.
 
-    The stated queries (``query_id`` long, ``vector``) are held in blocks of ``QUERY_BLOCK``; rows are read once a block and never moved.
+    The stated queries (``query_id`` long, ``vector``) are broadcast up to ``QUERY_BLOCK``, and rows never move; more
+    queries meet the rows in blocks, each task with one block and one chunk of rows.
     """
     return _by_blocks(queries, rows, key, key_type, {name: "vector"}, low, high, keep)
 
@@ -91,16 +91,30 @@ def dense_channels(queries: DataFrame, rows: DataFrame, key: str, key_type: str,
 
 
 def _by_blocks(queries: DataFrame, rows: DataFrame, key: str, key_type: str, channels: dict[str, str], low: float, high: float, keep: int | None) -> DataFrame:
-    spark = rows.sparkSession
-    asked = numbered(queries.select("query_id", "vector"), ["query_id"], "place")
+    """Up to ``QUERY_BLOCK`` queries are broadcast and rows stay where they are; beyond, blocks of queries meet chunks of rows in tasks of bounded size."""
     schema = f"query_id long, {key} {key_type}, " + ", ".join(f"{name} double" for name in channels)
-    total, out = queries.count(), None
-    for lo in range(0, max(total, 1), QUERY_BLOCK):
-        part = asked.where(F.col("place").between(lo + 1, lo + QUERY_BLOCK)).toPandas()  # at most QUERY_BLOCK vectors
-        block = spark.sparkContext.broadcast((part["query_id"].to_numpy(np.int64), np.array(part["vector"].tolist(), float).reshape(len(part), -1 if len(part) else 0)))
-        scored = rows.select(key, *channels.values()).mapInArrow(lambda b, block=block: _products(b, block.value, key, channels, low, high, keep), schema)
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    asked, rows = queries.select("query_id", "vector"), rows.select(key, *channels.values())
+    held = asked.limit(QUERY_BLOCK + 1).toArrow()  # the bound is checked: one more says that there are too many
+    if held.num_rows <= QUERY_BLOCK:
+        block = rows.sparkSession.sparkContext.broadcast(_matrix(held))
+        return rows.mapInArrow(lambda b: _products(b, block.value, key, channels, low, high, keep), schema)
+    blocks, chunks = (-(-n // size) for n, size in ((asked.count(), QUERY_BLOCK), (rows.count(), ROW_CHUNK)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+    ours = asked.select("*", dealt("query_id", blocks).alias("_block"), spread(chunks).alias("_chunk"))
+    theirs = rows.select("*", dealt(key, max(chunks, 1)).alias("_chunk"), spread(blocks).alias("_block"))
+
+    def meet(own: pa.Table, asked: pa.Table) -> pa.Table:
+        found = list(_products(own.combine_chunks().to_batches(), _matrix(asked), key, channels, low, high, keep))
+        return pa.Table.from_batches(found) if found else pa.table({c: pa.array([], t) for c, t in (("query_id", pa.int64()), (key, own.schema.field(key).type), *((c, pa.float64()) for c in channels))})
+
+    return theirs.groupBy("_block", "_chunk").cogroup(ours.groupBy("_block", "_chunk")).applyInArrow(meet, schema)
+
+
+def _matrix(asked: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of queries."""
+    vectors = asked.column("vector").to_pylist()
+    return asked.column("query_id").to_numpy(), np.array(vectors, float).reshape(len(vectors), -1 if vectors else 0)
 
 
 def _products(batches: Iterator[pa.RecordBatch], block, key: str, channels: dict[str, str], low: float, high: float, keep: int | None) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parleylake.functions.text import content_words, zero_overlap
-from parleylake.operators.quality import numbered
+from parleylake.operators.ranges import numbered
 
 METHODS = ["lexical", "semantic", "contextual", "hybrid"]
 UNLIKE = "the methods answered different questions"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parleylake.functions.text import MESSAGE_TYPES, classify_type, local_time
+from parleylake.operators.ranges import in_ranges, numbered, range_bounds
 
 #: Texts that a corpus must have, marks, words of mixed language, typos, topics.
 SHORT_REPLIES = ["haan", "done", "ok", "😂"]
@@ -46,8 +47,8 @@ def row_violations(records: DataFrame, participants: DataFrame, threads: list[st
 
 
 def _in_order(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with ``part``, a number of its range of ``order``; ranges follow each other, so neighbours meet within a part or at its ends."""
-    return rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    """``rows`` with ``part``, the number of their range by fixed bounds; ranges follow each other, so neighbours meet within a part or at its ends."""
+    return in_ranges(rows, order, range_bounds(rows, order))
 
 
 def out_of_order(records: DataFrame) -> DataFrame:
@@ -217,15 +218,6 @@ def sender_mismatch(messages: DataFrame, participants: DataFrame) -> DataFrame:
     return said.join(known, "name", "left_anti").withColumn("side", F.lit("unknown sender")).unionByName(known.join(said, "name", "left_anti").withColumn("side", F.lit("silent participant")))
 
 
-def numbered(table: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``table`` with its rows numbered from 1: each range of ``order`` is numbered by itself, from the sum of the counts before it."""
-    rows = _in_order(table, order)
-    inner = Window.partitionBy("part").orderBy(*order)
-    sizes = rows.groupBy("part").agg(F.count("*").alias("size"))
-    before = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each part
-    return rows.join(before, "part").withColumn(name, F.row_number().over(inner) + F.col("before")).drop("part", "before")
-
-
 def assign_ids(messages: DataFrame, pattern: str = "MSG_%06d") -> DataFrame:
     """``messages`` with ``new_id`` numbered from 1 by (ts, id)."""
     return numbered(messages, ["ts", "id"], "new_id").withColumn("new_id", F.format_string(pattern, "new_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parleylake.functions import text as T
-from parleylake.operators import annotate, context, dense, evaluate, fuse, lexical, quality
+from parleylake.operators import annotate, context, dense, evaluate, fuse, lexical, quality, ranges
 from parleylake.plans import views
 from parleylake.plans.views import MEANT_SQL, MESSAGES_SQL, PARTICIPANTS_SQL, RECORDS_SQL, REFERENCE_DATE, ZONE
 from parleylake.sources import io
@@ -325,7 +325,7 @@ def content_words(spark, sf):
 SELECT doc_id, len(list_intersect(a, b))::INTEGER AS shared, len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) = 0 AS zero_overlap FROM c""")
 def zero_overlap(spark, sf):
     """Each document and the next of its source: narrow rows are numbered by ranges, and texts meet by id."""
-    placed = written(quality.numbered(views.table(spark, sf, "documents").select("source", "doc_id"), ["source", "doc_id"], "place"))
+    placed = written(ranges.numbered(views.table(spark, sf, "documents").select("source", "doc_id"), ["source", "doc_id"], "place"))
     after = placed.select("source", F.col("doc_id").alias("next_id"), (F.col("place") - 1).alias("place"))
     texts = documents(spark, sf)
     rows = placed.join(after, ["source", "place"]).select("doc_id", "next_id").join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("next_id"), F.col("text").alias("other")), "next_id").where("other is not null")

@@ -323,6 +323,7 @@ def test_dense_blocks_of_queries(spark, monkeypatch):
     queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(11)], "query_id long, vector array<double>").repartition(3)
     whole = sorted(dense.dense_scores(queries, rows, "id", "string", "s", -99.0, 99.0).collect())
     monkeypatch.setattr(dense, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(dense, "ROW_CHUNK", 2)
     assert sorted(dense.dense_scores(queries, rows, "id", "string", "s", -99.0, 99.0).collect()) == whole and len(whole) == 55
     assert dense.dense_scores(queries.limit(0), rows, "id", "string", "s", -1.0, 1.0).count() == 0
 
