@@ -49,15 +49,22 @@ def in_ranges(table: DataFrame, order: list[str], bounds: DataFrame, name: str =
     return rows.withColumn(name, (passed + F.size(F.filter(F.slice("_bounds", passed + 1, F.lit(STRIDE)), lambda b: b <= own))).cast("int")).drop("_bounds", "_coarse")
 
 
-def numbered(table: DataFrame, order: list[str], name: str, ranges: int | None = None) -> DataFrame:
+def numbered(table: DataFrame, order: list[str], name: str, ranges: int | None = None, within: list[str] = [], total: str | None = None) -> DataFrame:  # noqa: B006
     """``table`` with its rows numbered from 1 by ``order``, without gaps: each range is numbered by itself, from the sum of the counts before it.
 
-    Rows that are equal in all of ``order`` are numbered in any order among themselves. Counting and numbering
-    are two plans over the table; that they mean the same ranges rests on the fixed bounds alone.
+    With ``within``, numbers begin anew for each value of these columns, of which one may have any share of the
+    rows; ``total`` then names a column of how many there are. Rows that are equal in all of ``within`` and
+    ``order`` are numbered in any order among themselves. Counting and numbering are two plans over the table;
+    that they mean the same ranges rests on the fixed bounds alone.
     """
-    rows = in_ranges(table, order, range_bounds(table, order, ranges), "_part")
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
-    earlier = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # at most MAX_RANGES rows
-    before = sizes.select("_part", F.coalesce(earlier, F.lit(0)).alias("_before"))
-    inner = Window.partitionBy("_part").orderBy(*order)
-    return rows.withColumn("_at", F.row_number().over(inner)).join(F.broadcast(before), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_before", "_at")
+    rows = in_ranges(table, [*within, *order], range_bounds(table, [*within, *order], ranges), "_part")
+    own = [f"_w{i}" for i in range(len(within))]
+    sizes = rows.groupBy("_part", *[F.col(c).alias(o) for c, o in zip(within, own, strict=True)]).agg(F.count("*").alias("_size"))
+    all_ = Window.partitionBy(*own)  # at most MAX_RANGES rows a value
+    earlier = F.sum("_size").over(all_.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select(F.col("_part").alias("_of"), *own, F.coalesce(earlier, F.lit(0)).alias("_before"), *([F.sum("_size").over(all_).alias(total)] if total else []))
+    same = F.col("_part") == F.col("_of")
+    for c, o in zip(within, own, strict=True):
+        same &= F.col(c).eqNullSafe(F.col(o))
+    placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_part", *within).orderBy(*order)))
+    return placed.join(before if within else F.broadcast(before), same).withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_of", "_before", "_at", *own)

@@ -41,3 +41,17 @@ def test_every_query_of_many_is_answered(spark):
     rows = spark.range(50).select(F.col("id").cast("string").alias("id"), F.array(F.cos("id"), F.sin("id")).alias("vector"))
     got = dense.semantic_topk(vectors, rows, 1)
     assert got.count() == 60_000 and got.where(F.col("query_id") < 50).where(F.col("query_id").cast("string") != F.col("id")).count() == 0
+
+
+def test_numbers_within_a_column(spark):
+    """A hot value, a null value and small ones each begin anew and know their size."""
+    data = [(None if i % 10 == 0 else "hot" if i % 3 else f"s{i % 7}", i * 37 % 1_009) for i in range(1_000)]
+    table = spark.createDataFrame(data, "source string, at long").repartition(7)
+    for n in (1, 5, 90):
+        got = {}
+        for r in ranges.numbered(table, ["at"], "n", n, ["source"], "of").collect():
+            got.setdefault((r["source"], r["of"]), []).append((r["n"], r["at"]))
+        want = {}
+        for source, at in data:
+            want.setdefault(source, []).append(at)
+        assert {k: sorted(v) for k, v in got.items()} == {(k, len(v)): list(enumerate(sorted(v), 1)) for k, v in want.items()}
