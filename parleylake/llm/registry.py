@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parleylake.llm import chat, decontam, embed_dedup, licenses, nbsvm, packing, reshard, secrets, simhash, warc
+from parleylake.llm import chat, decontam, embed_dedup, licenses, merkle, nbsvm, packing, reshard, secrets, simhash, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_quality_classifier": nbsvm.op9_quality_classifier,
     "op10_decontamination": decontam.op10_decontamination,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 #: Of the others, results are held against brute-force versions in tests/llm.
-ORACLES = {"op2_preference_format": chat.ORACLE, "op6_warc": warc.ORACLE, "op7_embedding_near_dedup": embed_dedup.ORACLE, "op10_decontamination": decontam.ORACLE}
+ORACLES = {"op2_preference_format": chat.ORACLE, "op6_warc": warc.ORACLE, "op7_embedding_near_dedup": embed_dedup.ORACLE, "op10_decontamination": decontam.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
