@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parleylake.llm import chat, decontam, embed_dedup, licenses, merkle, nbsvm, packing, reshard, secrets, simhash, urls, warc
+from parleylake.llm import chat, decontam, embed_dedup, licenses, merkle, nbsvm, negatives, packing, reshard, secrets, simhash, urls, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontamination": decontam.op10_decontamination,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_url_filter": urls.op12_url_filter,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 #: Of the others, results are held against brute-force versions in tests/llm.
-ORACLES = {"op2_preference_format": chat.ORACLE, "op6_warc": warc.ORACLE, "op7_embedding_near_dedup": embed_dedup.ORACLE, "op10_decontamination": decontam.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_url_filter": urls.ORACLE}
+ORACLES = {"op2_preference_format": chat.ORACLE, "op6_warc": warc.ORACLE, "op7_embedding_near_dedup": embed_dedup.ORACLE, "op10_decontamination": decontam.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_url_filter": urls.ORACLE, "op13_hard_negatives": negatives.ORACLE}
