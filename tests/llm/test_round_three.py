@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parleylake.llm import merkle, negatives, urls
+from parleylake.llm import merkle, negatives, packing, urls
 from tests.llm import slow_urls
 from tests.llm.fixtures import TEXTS, documents, empty, oracle
 
@@ -197,3 +197,24 @@ def test_negatives_of_awkward_rows(spark):
 
 def test_negatives_sql(spark, sf):
     equals_its_sql(spark, sf, negatives.op13_hard_negatives, negatives.ORACLE)
+
+
+# packing
+
+
+def test_long_runs_are_encoded_as_tokenizers_does():
+    """Runs of millions of blanks, newlines and one letter, at the start, inside and at the end, on both sides of the bound, with an added token."""
+    import tokenizers
+
+    path = packing.default_tokenizer()
+    encode, want = packing.Encoder(path), tokenizers.Tokenizer.from_file(path)
+    added = next(iter(encode.added), "")
+    n = packing.BLANKS
+    for text in (" " * 1_000_000 + "x", "\n" * 2_000_000 + "x", "x" + " \n\t" * 600_000, "a" * 5_000_000, "\u3000" * 1_000_000 + f"b{added} c", " " * (n - 1) + "x", " " * n + "x", f"a{added}" + " " * n + f"{added} b"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == want.encode(text, add_special_tokens=False).ids
+
+
+def test_a_document_of_blanks_is_packed(spark):
+    docs = spark.createDataFrame([(1, " " * 1_500_000 + "x"), (2, "word")], "doc_id long, text string")
+    lengths = {r["doc_id"]: r["n"] for r in packing.pack(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert lengths[2] == 2 and lengths[1] > 100_000
