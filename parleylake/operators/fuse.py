@@ -51,12 +51,32 @@ def _meets() -> Column:
     )
 
 
+#: Up to so many queries without any bound are broadcast: each gives every message a row in any case.
+UNBOUND = 100_000
+
+
 def eligible(constraints: DataFrame, messages: DataFrame, zone: str) -> DataFrame:
     """(``query_id``, ``id``) of messages that meet all of a query's hard constraints; those that are absent hold.
 
-    A stated query set against all messages: each message row is read once and tested against the broadcast constraints.
+    A query looks for its messages by one key: the days between its dates, cut to those that the table has, else
+    its sender, else its type. Messages bring the same keys, so an equi-join finds them, and the other
+    constraints are tested on what it finds. Only queries without any bound meet every message.
     """
-    return _seen(messages, zone).join(F.broadcast(_asked(constraints)), _meets()).select("query_id", "id")
+    asked, seen = _asked(constraints), _seen(messages, zone)
+    by_sender = F.coalesce(F.col("mode") == "filter", F.lit(False))
+    kind = F.when(F.col("start").isNotNull(), "day").when(by_sender, "sender").when(F.col("message_type").isNotNull(), "type")
+    ends = seen.agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))  # one row
+    bound = asked.withColumn("kind", kind).where("kind is not null").crossJoin(F.broadcast(ends))
+    low, high = F.greatest("start", "first_day"), F.least("end", "last_day")
+    days = F.when(low <= high, F.transform(F.sequence(low, high), lambda d: d.cast("string")))
+    values = F.when(F.col("kind") == "day", days).when(F.col("kind") == "sender", F.array("person")).otherwise(F.array("message_type"))
+    bound = bound.withColumn("value", F.explode(values)).drop("first_day", "last_day")
+    keys = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("day", F.col("day").cast("string")), ("sender", F.col("sender")), ("type", F.col("own_type")))])
+    keyed = seen.select("*", F.inline(keys))
+    found = keyed.join(bound, ["kind", "value"]).where(_meets()).select("query_id", "id")
+    free = asked.withColumn("kind", kind).where("kind is null").select("query_id")
+    few = free.limit(UNBOUND + 1).count() <= UNBOUND
+    return found.unionByName(seen.select("id").crossJoin(F.broadcast(free) if few else free).select("query_id", "id"))
 
 
 def eligible_counts(constraints: DataFrame, allowed: DataFrame, messages: DataFrame) -> DataFrame:

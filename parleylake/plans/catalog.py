@@ -555,8 +555,10 @@ def check_vectors(spark, sf):
 
 # fused retrieval over messages
 
-ASKS_SQL = """
-asks AS (SELECT item_id AS query_id, item_id % 4 AS k, CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN 'What did assistant say about ' || text WHEN 2 THEN 'in March 2026 ' || text ELSE 'Find the image of ' || text END AS query FROM benchmark)"""
+#: A question's kind says what it asks for; of the rules that its own words can trip, the SQL reads those that block a type (kind 4: none asked for).
+BLOCKED_SQL = annotate.TYPE_BLOCKED.replace("'", "''")
+ASKS_SQL = f"""
+asks AS (SELECT item_id AS query_id, CASE WHEN item_id % 4 = 3 AND regexp_matches(lower(text), '{BLOCKED_SQL}') THEN 4 ELSE item_id % 4 END AS k, CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN 'What did assistant say about ' || text WHEN 2 THEN 'in March 2026 ' || text ELSE 'Find the image of ' || text END AS query FROM benchmark)"""
 SENDERS = ["user", "assistant", "system"]
 
 
@@ -567,13 +569,14 @@ def asks(spark, sf):
 
 
 def constraints(spark, sf):
+    """Written once: what reads a constraint several times would otherwise take the question apart as often."""
     people = spark.createDataFrame(list(enumerate(SENDERS)), "ord int, name string")
-    return annotate.interpret(asks(spark, sf), io.alias_dim(people), REFERENCE_DATE)
+    return written(annotate.interpret(asks(spark, sf), io.alias_dim(people), REFERENCE_DATE))
 
 
-#: The questions' own texts name no people, dates or types, so their kind says what they ask for.
+#: The questions' own texts name no people and no dates: a test holds that on all sizes.
 ELIGIBLE_SQL = f"""{MESSAGES_SQL},{ASKS_SQL},
-el AS (SELECT query_id, id FROM asks, messages WHERE k = 0 OR (k = 1 AND sender = 'assistant') OR (k = 2 AND strftime(ts + INTERVAL 330 MINUTE, '%Y-%m') = '2026-03') OR (k = 3 AND message_type = 'image'))"""
+el AS (SELECT query_id, id FROM asks, messages WHERE k IN (0, 4) OR (k = 1 AND sender = 'assistant') OR (k = 2 AND strftime(ts + INTERVAL 330 MINUTE, '%Y-%m') = '2026-03') OR (k = 3 AND message_type = 'image'))"""
 
 
 @query(f"WITH {ELIGIBLE_SQL} SELECT query_id, id FROM el")
@@ -613,7 +616,7 @@ def _short_lexical(prefix: str, source: str, key: str, text: str, vocabulary: st
 
 
 SIGNALS_SQL = f"""{CTX_SQL},{ASKS_SQL},
-el AS (SELECT query_id, id FROM asks, messages WHERE k = 0 OR (k = 1 AND sender = 'assistant') OR (k = 2 AND strftime(ts + INTERVAL 330 MINUTE, '%Y-%m') = '2026-03') OR (k = 3 AND message_type = 'image')),
+el AS (SELECT query_id, id FROM asks, messages WHERE k IN (0, 4) OR (k = 1 AND sender = 'assistant') OR (k = 2 AND strftime(ts + INTERVAL 330 MINUTE, '%Y-%m') = '2026-03') OR (k = 3 AND message_type = 'image')),
 ctxt AS (SELECT id, {LINES_SQL} AS text FROM cx x), {vec_sql('vm', 'messages', 'id', 'text')}, {vec_sql('vc', 'ctxt', 'id', 'text')}, {vec_sql('vq', 'asks', 'query_id', 'query')},
 {_short_lexical('m', 'messages', 'id', 'text')}, {_short_lexical('q', 'asks', 'query_id', 'query', 'mi')},
 sem AS (SELECT q.k AS query_id, m.k AS id, least(greatest(sum(q.v * m.v), 0), 1) AS s FROM vq q JOIN vm m USING (d) GROUP BY ALL), con AS (SELECT q.k AS query_id, m.k AS id, least(greatest(sum(q.v * m.v), 0), 1) AS s FROM vq q JOIN vc m USING (d) GROUP BY ALL),
@@ -622,13 +625,13 @@ sig AS MATERIALIZED (SELECT a.query_id, m.id, a.k, coalesce(sem.s, 0) AS semanti
   FROM asks a CROSS JOIN messages m LEFT JOIN sem USING (query_id, id) LEFT JOIN con USING (query_id, id) LEFT JOIN lex USING (query_id, id) LEFT JOIN el USING (query_id, id))"""
 PROFILES_SQL = ", ".join(f"({i}, '{n}', {c}, {s}, {x})" for i, (n, (c, s, x)) in enumerate(fuse.PROFILES.items()))
 SCORED_SQL = f"""{SIGNALS_SQL}, prof(ord, profile, c, s, x) AS (VALUES {PROFILES_SQL}),
-scored AS MATERIALIZED (SELECT sig.*, ord, profile, (c - CASE WHEN k > 0 THEN 0.1 ELSE 0 END) * contextual + (s + CASE WHEN k > 0 THEN 0.1 ELSE 0 END) * semantic + x * lexical + CASE WHEN person_match THEN 0.05 ELSE 0 END + CASE WHEN date_match THEN 0.05 ELSE 0 END AS score FROM sig, prof WHERE eligible),
+scored AS MATERIALIZED (SELECT sig.*, ord, profile, (c - CASE WHEN k BETWEEN 1 AND 3 THEN 0.1 ELSE 0 END) * contextual + (s + CASE WHEN k BETWEEN 1 AND 3 THEN 0.1 ELSE 0 END) * semantic + x * lexical + CASE WHEN person_match THEN 0.05 ELSE 0 END + CASE WHEN date_match THEN 0.05 ELSE 0 END AS score FROM sig, prof WHERE eligible),
 bal AS (SELECT * FROM scored WHERE profile = 'balanced')"""
 
 
 def signals(spark, sf):
     """All channels of every question and message, in one written table that the profiles share."""
-    m, q, c = views.messages(spark, sf), asks(spark, sf), written(constraints(spark, sf))
+    m, q, c = views.messages(spark, sf), asks(spark, sf), constraints(spark, sf)
     vectors = q.select("query_id", dense.hashed_vector(F.col("query")).alias("vector"))
     own = spread(m).select("id", dense.hashed_vector(F.col("text")).alias("own"))
     around = context.fit_budget(contexts(spark, sf), 1_000_000).select("id", dense.hashed_vector(F.col("fitted")).alias("around"))
@@ -663,7 +666,7 @@ def align_scores(spark, sf):
     return fuse.align_scores(base, scores, "lexical").select("query_id", "id", F.round("lexical", 6).alias("lexical"))
 
 
-@query(f"WITH {ASKS_SQL}, prof(ord, profile, c, s, x) AS (VALUES {PROFILES_SQL}) SELECT query_id, profile, round(c - CASE WHEN k > 0 THEN 0.1 ELSE 0 END, 6)::DOUBLE AS w_contextual, round(s + CASE WHEN k > 0 THEN 0.1 ELSE 0 END, 6)::DOUBLE AS w_semantic, x::DOUBLE AS w_lexical FROM asks, prof")
+@query(f"WITH {ASKS_SQL}, prof(ord, profile, c, s, x) AS (VALUES {PROFILES_SQL}) SELECT query_id, profile, round(c - CASE WHEN k BETWEEN 1 AND 3 THEN 0.1 ELSE 0 END, 6)::DOUBLE AS w_contextual, round(s + CASE WHEN k BETWEEN 1 AND 3 THEN 0.1 ELSE 0 END, 6)::DOUBLE AS w_semantic, x::DOUBLE AS w_lexical FROM asks, prof")
 def weights(spark, sf):
     rows = fuse.weights(constraints(spark, sf), fuse.profiles(spark))
     return rows.select("query_id", "profile", F.round("w_contextual", 6).alias("w_contextual"), F.round("w_semantic", 6).alias("w_semantic"), "w_lexical")
@@ -725,7 +728,7 @@ def rerank_topk(spark, sf):
 
 @query(f"""WITH {RANKED_SQL}, sh AS (SELECT id, {SHOWN_IDS} FROM (SELECT id, t, list_filter(coalesce(list({{'t': t, 'id': id}}) OVER (ORDER BY t, id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []), lambda m: t - m.t <= 1800) AS p,
   list_filter(coalesce(list({{'t': t, 'id': id}}) OVER (ORDER BY t, id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), []), lambda m: m.t - t <= 1800) AS n FROM messages))
-SELECT query_id, ['none', 'filter', 'none', 'none'][k + 1] AS mode, coalesce(string_agg(rank || ':' || id || ':' || previous || ':' || next, ' ' ORDER BY rank), '') AS results FROM asks LEFT JOIN fin USING (query_id) LEFT JOIN sh USING (id) GROUP BY query_id, k""")
+SELECT query_id, ['none', 'filter', 'none', 'none', 'none'][k + 1] AS mode, coalesce(string_agg(rank || ':' || id || ':' || previous || ':' || next, ' ' ORDER BY rank), '') AS results FROM asks LEFT JOIN fin USING (query_id) LEFT JOIN sh USING (id) GROUP BY query_id, k""")
 def search(spark, sf):
     rows, pairs, c = paired(spark, sf)
     m = views.messages(spark, sf)
@@ -872,6 +875,6 @@ def label_violations(spark, sf):
     return evaluate.label_violations(asked, people, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"], r"^Q\d{3,}$")
 
 
-@query(f"WITH {RECORDS_SQL},{ASKS_SQL}, el AS (SELECT query_id, id FROM asks, messages WHERE k = 0 OR (k = 1 AND sender = 'assistant') OR (k = 2 AND strftime(ts + INTERVAL 330 MINUTE, '%Y-%m') = '2026-03') OR (k = 3 AND message_type = 'image')), {TARGETS_SQL} SELECT count(DISTINCT id) AS targets, coalesce(string_agg(DISTINCT thread_id, ',' ORDER BY thread_id), '') AS threads FROM tg JOIN records ON id = expected_id")
+@query(f"WITH {RECORDS_SQL},{ASKS_SQL}, el AS (SELECT query_id, id FROM asks, messages WHERE k IN (0, 4) OR (k = 1 AND sender = 'assistant') OR (k = 2 AND strftime(ts + INTERVAL 330 MINUTE, '%Y-%m') = '2026-03') OR (k = 3 AND message_type = 'image')), {TARGETS_SQL} SELECT count(DISTINCT id) AS targets, coalesce(string_agg(DISTINCT thread_id, ',' ORDER BY thread_id), '') AS threads FROM tg JOIN records ON id = expected_id")
 def thread_coverage(spark, sf):
     return evaluate.thread_coverage(targets(spark, sf), views.records(spark, sf))
