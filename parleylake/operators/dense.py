@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from parleylake.functions.text import fold_accents, word_terms
 from parleylake.operators.lexical import best, check_k, top_k
@@ -91,22 +93,29 @@ def dense_channels(queries: DataFrame, rows: DataFrame, key: str, key_type: str,
 
 
 def _by_blocks(queries: DataFrame, rows: DataFrame, key: str, key_type: str, channels: dict[str, str], low: float, high: float, keep: int | None) -> DataFrame:
-    """Up to ``QUERY_BLOCK`` queries are broadcast and rows stay where they are; beyond, blocks of queries meet chunks of rows in tasks of bounded size."""
     schema = f"query_id long, {key} {key_type}, " + ", ".join(f"{name} double" for name in channels)
-    asked, rows = queries.select("query_id", "vector"), rows.select(key, *channels.values())
-    held = asked.limit(QUERY_BLOCK + 1).toArrow()  # the bound is checked: one more says that there are too many
+    return in_blocks(queries.select("query_id", "vector"), rows.select(key, *channels.values()), key, lambda b, asked: _products(b, _matrix(asked), key, channels, low, high, keep), schema)
+
+
+def in_blocks(queries: DataFrame, rows: DataFrame, key: str, work, schema: str) -> DataFrame:
+    """``work`` (Arrow batches of ``rows``, a table of queries) over all rows and queries.
+
+    Up to ``QUERY_BLOCK`` queries are broadcast and rows stay where they are; beyond, blocks of queries meet chunks of rows in tasks of bounded size.
+    """
+    held = queries.limit(QUERY_BLOCK + 1).toArrow()  # the bound is checked: one more says that there are too many
     if held.num_rows <= QUERY_BLOCK:
-        block = rows.sparkSession.sparkContext.broadcast(_matrix(held))
-        return rows.mapInArrow(lambda b: _products(b, block.value, key, channels, low, high, keep), schema)
-    blocks, chunks = (-(-n // size) for n, size in ((asked.count(), QUERY_BLOCK), (rows.count(), ROW_CHUNK)))
+        block = rows.sparkSession.sparkContext.broadcast(held)
+        return rows.mapInArrow(lambda b: work(b, block.value) if block.value.num_rows else iter(()), schema)
+    blocks, chunks = (-(-n // size) for n, size in ((queries.count(), QUERY_BLOCK), (rows.count(), ROW_CHUNK)))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
-    ours = asked.select("*", dealt("query_id", blocks).alias("_block"), spread(chunks).alias("_chunk"))
+    ours = queries.select("*", dealt("query_id", blocks).alias("_block"), spread(chunks).alias("_chunk"))
     theirs = rows.select("*", dealt(key, max(chunks, 1)).alias("_chunk"), spread(blocks).alias("_block"))
+    empty = to_arrow_schema(StructType.fromDDL(schema))
 
     def meet(own: pa.Table, asked: pa.Table) -> pa.Table:
-        found = list(_products(own.combine_chunks().to_batches(), _matrix(asked), key, channels, low, high, keep))
-        return pa.Table.from_batches(found) if found else pa.table({c: pa.array([], t) for c, t in (("query_id", pa.int64()), (key, own.schema.field(key).type), *((c, pa.float64()) for c in channels))})
+        found = list(work(own.combine_chunks().to_batches(), asked)) if asked.num_rows else []
+        return pa.Table.from_batches(found) if found else empty.empty_table()
 
     return theirs.groupBy("_block", "_chunk").cogroup(ours.groupBy("_block", "_chunk")).applyInArrow(meet, schema)
 

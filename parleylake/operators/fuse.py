@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from parleylake.functions.text import content_words, local_time
+from parleylake.operators import pool
 from parleylake.operators.lexical import top_k
 
 #: Weight profiles (contextual, semantic, lexical), bonuses, what a hard filter moves, pool width, re-scoring share.
@@ -119,13 +119,19 @@ def hybrid_topk(scored: DataFrame, k: int = 5) -> DataFrame:
 
 
 def candidate_pool(scored: DataFrame, k: int = 5, width: int = POOL) -> DataFrame:
-    """(``query_id``, ``id``): the best of the fused score, and of each channel where positive. Each list is pruned before its exchange."""
-    width = max(k, width)
-    lists = [top_k(scored, "score", "id", width)] + [top_k(scored.where(F.round(c, 9) > 0), c, "id", width) for c in ("semantic", "contextual", "lexical")]
-    out = lists[0].select("query_id", "id")
-    for one in lists[1:]:
-        out = out.unionByName(one.select("query_id", "id"))
-    return out.distinct()
+    """(``query_id``, ``id``): the best of the fused score, and of each channel where positive."""
+    return pool.candidate_pool(scored, k, width).select("query_id", "id")
+
+
+def first_stage(constraints: DataFrame, weighted: DataFrame, vectors: DataFrame, query_weights: DataFrame, own: DataFrame, postings: DataFrame, messages: DataFrame, zone: str, width: int = POOL) -> DataFrame:
+    """The rows with signals and ``score`` that can be in a question's pool, or among its ``width`` best, under the weights of one profile.
+
+    ``vectors`` (query_id, vector), ``own`` (id, own, around), ``query_weights`` and ``postings`` as of the lexical index.
+    """
+    asked, held = pool.terms_by_row(query_weights, postings)
+    questions = _asked(constraints).join(weighted, "query_id").join(vectors, "query_id").join(asked, "query_id", "left")
+    rows = _seen(messages, zone).join(own, "id").join(held, "id", "left")
+    return pool.first_stage(questions, rows, width)
 
 
 def pair_text(text: Column, sender: Column, timestamp: Column) -> Column:
@@ -167,10 +173,3 @@ def target_rank(scored: DataFrame, targets: DataFrame) -> DataFrame:
     mine = F.round("score", 9)
     before = (mine > F.col("own")) | ((mine == F.col("own")) & (F.col("id") < F.col("own_id")))
     return scored.join(wanted, "query_id").groupBy("query_id").agg((F.count_if(before) + 1).alias("target_rank"))
-
-
-def profile_rows(signals: DataFrame, weighted: DataFrame, k: int = 3) -> DataFrame:
-    """Top-k rows of every profile over signals that were computed once."""
-    scored = hybrid_scores(signals, weighted)
-    order = Window.partitionBy("profile", "query_id").orderBy(F.round("score", 9).desc(), F.col("id"))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("ord", "profile", "query_id", "rank", "id")

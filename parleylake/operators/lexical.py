@@ -41,7 +41,7 @@ def document_frequency(rows: DataFrame, own: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(size)).select("channel", "term", (F.log((1 + F.col("corpus")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def _weighted(own: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+def weighted(own: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """Terms meet their idf, then move once more, by key; a text's length is taken there and later groups by key need no exchange."""
     raw = own.join(idf, ["channel", "term"]).select(key, "channel", "term", ((F.log("n") + 1) * F.col("idf")).alias("w")).repartition(key)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key, "channel")))
@@ -52,12 +52,12 @@ def tfidf_index(rows: DataFrame, key: str = "id", text: str = "text") -> tuple[D
     """Postings (``key``, ``channel``, ``term``, ``weight``) of unit length a channel, and ``idf``; write both for later searches."""
     own = counts(rows, key, text)
     idf = document_frequency(rows, own)
-    return _weighted(own, idf, key), idf
+    return weighted(own, idf, key), idf
 
 
 def tfidf_query(queries: DataFrame, idf: DataFrame) -> DataFrame:
     """Query vectors; terms outside the corpus leave before the length is taken."""
-    return _weighted(counts(queries, "query_id", "query"), idf, "query_id")
+    return weighted(counts(queries, "query_id", "query"), idf, "query_id")
 
 
 def lexical_score(query_weights: DataFrame, postings: DataFrame, key: str = "id", keep: int | None = None) -> DataFrame:

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,53 +86,27 @@ def variety_checks(records: DataFrame, topics: list[str]) -> DataFrame:
     return records.agg(F.array(*[F.struct(F.lit(k).alias("rule"), F.coalesce(v, F.lit(False)).alias("ok")) for k, v in checks.items()]).alias("all")).select(F.inline("all"))
 
 
-#: Ids that one row of a thread's joined ids holds.
-PIECE = 16_384
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Sorted (``thread_id``, ``id``) to rows of joined ids, numbered within the range that the task reads."""
-    part, seq, thread, held = TaskContext.get().partitionId(), 0, None, []
-    names = ["thread_id", "part", "seq", "ids"]
-    row = lambda: pa.RecordBatch.from_pylist([dict(zip(names, (thread, part, seq, ",".join(held)), strict=True))], pa.schema(zip(names, (pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True)))
-    for batch in batches:
-        for of, own in zip(batch.column("thread_id").to_pylist(), batch.column("id").to_pylist(), strict=True):
-            if held and (of != thread or len(held) >= size):
-                yield row()
-                seq, held = seq + 1, []
-            thread = of
-            held.append(own)
-    if held:
-        yield row()
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces by thread and order to one MD5 a thread, a piece at a time."""
-    thread, state = None, None
-    row = lambda: pa.RecordBatch.from_pydict({"of_ids": [thread], "ids_md5": [state.hexdigest()]})
-    for batch in batches:
-        for of, ids in zip(batch.column("thread_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-            if state is not None and of == thread:
-                state.update(b",")
-            else:
-                if state is not None:
-                    yield row()
-                thread, state = of, hashlib.md5()
-            state.update(ids.encode())
-    if state is not None:
-        yield row()
+#: Ids, and digests of pieces, that one digest goes over.
+PIECE = 256
 
 
 def ordered_digest(records: DataFrame, size: int = PIECE) -> DataFrame:
-    """(``of_ids``, ``ids_md5``): the MD5 of each thread's ids by (ts, id), joined with commas; null ids are left out.
+    """(``of_ids``, ``ids_md5``): a digest of each thread's ids by (ts, id); null ids are left out.
 
-    Ranges of (thread, ts, id) sort and join the ids in pieces, however long a thread is. An MD5 can't be
-    split, so a thread's pieces pass one task in order; it holds a batch of pieces, never a whole thread.
+    It is a tree: the MD5 of each ``size`` ids, joined with commas, then of each ``size`` of these digests, until
+    one is left. Ids get their places by ranges, so no task reads a thread, and a changed id can be found from
+    the top. A thread of up to ``size`` ids has the MD5 of all its ids.
     """
-    rows = records.where(F.col("thread_id").isNotNull() & F.col("id").isNotNull()).select(F.col("thread_id").cast("string"), "ts", F.col("id").cast("string"))
-    order = ["thread_id", "ts", "id"]
-    pieces = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("thread_id", "id").mapInArrow(lambda b: _pieces(b, size), "thread_id string, part int, seq long, ids string")
-    return pieces.repartition("thread_id").sortWithinPartitions("thread_id", "part", "seq").select("thread_id", "ids").mapInArrow(_digests, "of_ids string, ids_md5 string")
+    rows = records.where(F.col("thread_id").isNotNull() & F.col("id").isNotNull()).select(F.col("thread_id").cast("string").alias("of_ids"), "ts", F.col("id").cast("string").alias("node"))
+    most = rows.groupBy("of_ids").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    nodes = numbered(rows, ["ts", "node"], "at", within=["of_ids"], total="n").withColumn("at", F.col("at") - 1)
+    whole = True
+    while whole or most > 1:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "node"))), lambda x: x["node"]), ",")  # at most ``size``
+        digest = F.md5(joined) if whole else F.when(F.first("n") > 1, F.md5(joined)).otherwise(F.first("node"))
+        nodes = nodes.groupBy("of_ids", F.floor(F.col("at") / size).alias("to")).agg(F.ceil(F.first("n") / size).alias("n"), digest.alias("node")).withColumnRenamed("to", "at")
+        whole, most = False, -(-most // size)
+    return nodes.select("of_ids", F.col("node").alias("ids_md5"))
 
 
 def inside(rows: DataFrame, spans: DataFrame, key: str) -> DataFrame:
@@ -179,8 +148,11 @@ def thread_audit(records: DataFrame, zone: str = "UTC", metadata: DataFrame | No
         "thread_id", "n", "first_id", "last_id", F.coalesce("ids_md5", F.md5(F.lit(""))).alias("ids_md5"), "episodes", "days", "senders",
         (F.unix_timestamp("end") - F.unix_timestamp("start") >= 14 * 86400).alias("two_weeks"), F.coalesce("foreign", F.lit(0)).alias("foreign"),
     )
-    if metadata is None:
-        return audit
+    return audit if metadata is None else against_metadata(audit, records, metadata)
+
+
+def against_metadata(audit: DataFrame, records: DataFrame, metadata: DataFrame) -> DataFrame:
+    """``audit`` of ``records`` with ``problems``, as ``thread_audit`` says; for an audit that was written once."""
     told = metadata.select("thread_id", "message_count", "first_message_id", "last_message_id", F.col("ids_md5").alias("told_md5"), "conclusion_id")
     known = records.where(F.col("thread_id").isNotNull()).select(F.col("id").alias("conclusion_id"), F.col("thread_id").alias("concludes")).distinct()
     both = audit.withColumn("found", F.lit(True)).join(told.withColumn("named", F.lit(True)), "thread_id", "full").join(known, "conclusion_id", "left")

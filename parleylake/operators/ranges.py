@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 #: Rows that a range should hold, the most ranges there are, and the sampled keys behind each bound.
 RANGE_ROWS, MAX_RANGES, PER_BOUND = 1_000_000, 4_096, 32
-#: Smaller tables than this are one range a core at most.
+#: Tables of no more rows are one range, larger ones have at least one for each of as many rows, up to one a core.
 FEW_ROWS = 10_000
 #: Bounds that are looked through one by one, after the coarse step.
 STRIDE = 64
@@ -26,6 +26,10 @@ def range_bounds(table: DataFrame, order: list[str], ranges: int | None = None)
     stays in its range. Nulls come first, as in Spark's own ascending order.
     """
     keys = table.select(_key(order).alias("key"))
+    if ranges is None and keys.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        ranges = 1
+    if ranges == 1:
+        return keys.limit(0).agg(F.collect_list("key").alias("bounds"))
     n = keys.count()
     if ranges is None:
         ranges = max(-(-n // RANGE_ROWS), min(table.sparkSession.sparkContext.defaultParallelism, -(-n // FEW_ROWS)))

@@ -209,19 +209,24 @@ def variety_checks(spark, sf):
     return quality.variety_checks(views.records(spark, sf), views.TOPICS)
 
 
-@query(f"""WITH {RECORDS_SQL}, th AS (SELECT thread_id, count(*) AS n, arg_min(id, (t, id)) AS first_id, arg_max(id, (t, id)) AS last_id, md5(string_agg(id, ',' ORDER BY t, id)) AS ids_md5, count(DISTINCT episode_id) AS episodes,
+@query(f"""WITH RECURSIVE {RECORDS_SQL}, dg(thread_id, i, n, h) AS (
+  SELECT thread_id, (p - 1) // {quality.PIECE}, (n + {quality.PIECE - 1}) // {quality.PIECE}, md5(string_agg(id, ',' ORDER BY p))
+  FROM (SELECT thread_id, id, row_number() OVER (PARTITION BY thread_id ORDER BY t, id) AS p, count(*) OVER (PARTITION BY thread_id) AS n FROM records WHERE thread_id IS NOT NULL) GROUP BY ALL
+  UNION ALL SELECT thread_id, i // {quality.PIECE}, (n + {quality.PIECE - 1}) // {quality.PIECE}, md5(string_agg(h, ',' ORDER BY i)) FROM dg WHERE n > 1 GROUP BY thread_id, i // {quality.PIECE}, (n + {quality.PIECE - 1}) // {quality.PIECE}),
+th AS (SELECT thread_id, count(*) AS n, arg_min(id, (t, id)) AS first_id, arg_max(id, (t, id)) AS last_id, count(DISTINCT episode_id) AS episodes,
   count(DISTINCT ts::DATE) AS days, count(DISTINCT sender) AS senders, max(t) - min(t) >= 14 * 86400 AS two_weeks, min(t) AS lo, max(t) AS hi FROM records WHERE thread_id IS NOT NULL GROUP BY thread_id)
-SELECT thread_id, n, first_id, last_id, ids_md5, episodes, days, senders, two_weeks, (SELECT count(*) FROM records r WHERE r.t > lo AND r.t < hi AND r.thread_id IS DISTINCT FROM th.thread_id) AS "foreign",
+SELECT thread_id, n, first_id, last_id, (SELECT h FROM dg WHERE dg.n = 1 AND dg.thread_id = th.thread_id) AS ids_md5, episodes, days, senders, two_weeks, (SELECT count(*) FROM records r WHERE r.t > lo AND r.t < hi AND r.thread_id IS DISTINCT FROM th.thread_id) AS "foreign",
  array_to_string(list_filter([CASE WHEN thread_id = 'T1' THEN 'count' END, CASE WHEN thread_id = 'T1' THEN 'members' END, CASE WHEN NOT (first_id < con AND con < last_id) THEN 'conclusion' END], lambda x: x IS NOT NULL), ',') AS problems
 FROM th JOIN (SELECT thread_id, CASE WHEN thread_id = 'T2' THEN max(id) ELSE arg_min(id, md5(id)) END AS con FROM records WHERE thread_id IS NOT NULL GROUP BY thread_id) USING (thread_id)
 UNION ALL SELECT 'T9', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'missing'""")
 def thread_audit(spark, sf):
     """Against metadata with one message too many in T1, T2's last message for its conclusion, and a thread that isn't there."""
     records, held = views.records(spark, sf), F.col("thread_id") == "T1"
-    told = quality.thread_audit(records).select("thread_id", (F.col("n") + held.cast("int")).alias("message_count"), F.col("first_id").alias("first_message_id"), F.col("last_id").alias("last_message_id"), F.when(held, "x").otherwise(F.col("ids_md5")).alias("ids_md5"))
+    audit = written(quality.thread_audit(records))
+    told = audit.select("thread_id", (F.col("n") + held.cast("int")).alias("message_count"), F.col("first_id").alias("first_message_id"), F.col("last_id").alias("last_message_id"), F.when(held, "x").otherwise(F.col("ids_md5")).alias("ids_md5"))
     ends = records.where("thread_id is not null").groupBy("thread_id").agg(F.when(F.first("thread_id") == "T2", F.max("id")).otherwise(F.min_by("id", F.md5("id"))).alias("conclusion_id"))
     absent = spark.createDataFrame([("T9", 1, "a", "b", "c", "d")], "thread_id string, message_count long, first_message_id string, last_message_id string, ids_md5 string, conclusion_id string")
-    return quality.thread_audit(records, metadata=told.join(ends, "thread_id").unionByName(absent)).withColumn("problems", F.array_join("problems", ","))
+    return quality.against_metadata(audit, records, told.join(ends, "thread_id").unionByName(absent)).withColumn("problems", F.array_join("problems", ","))
 
 
 @query(f"""WITH {RECORDS_SQL}, e AS (SELECT unnest(['text', 'forwarded', 'url', 'image', 'pdf', 'voice', 'poem']) AS value, unnest([4324, 44, 51, 134, 24, 57, 3]) AS expected), o AS (SELECT message_type AS value, count(*) AS n FROM records GROUP BY 1)
@@ -496,7 +501,7 @@ def index(spark, sf):
     docs = documents(spark, sf)
     own = written(lexical.counts(docs, "doc_id"))
     idf = written(lexical.document_frequency(docs, own))
-    return lexical._weighted(own, idf, "doc_id"), idf
+    return lexical.weighted(own, idf, "doc_id"), idf
 
 
 @query(f"WITH {TERMS_SQL} SELECT doc_id, channel, count(*) AS terms, round(sum(weight), 6) AS weight, round(max(weight), 6) AS heaviest FROM post GROUP BY ALL")
@@ -629,23 +634,34 @@ scored AS MATERIALIZED (SELECT sig.*, ord, profile, (c - CASE WHEN k BETWEEN 1 A
 bal AS (SELECT * FROM scored WHERE profile = 'balanced')"""
 
 
-def signals(spark, sf):
-    """All channels of every question and message, in one written table that the profiles share."""
+def channels(spark, sf):
+    """What both ways of scoring read: messages, questions and their constraints, their vectors, and the lexical weights of both sides."""
     m, q, c = views.messages(spark, sf), asks(spark, sf), constraints(spark, sf)
     vectors = q.select("query_id", dense.hashed_vector(F.col("query")).alias("vector"))
     own = spread(m).select("id", dense.hashed_vector(F.col("text")).alias("own"))
     around = context.fit_budget(contexts(spark, sf), 1_000_000).select("id", dense.hashed_vector(F.col("fitted")).alias("around"))
-    both = dense.dense_channels(vectors, written(own.join(around, "id")), "id", "string", {"semantic": "own", "contextual": "around"}, 0.0, 1.0)
     counted = written(lexical.counts(m, "id"))
     idf = written(lexical.document_frequency(m, counted))
-    scores = lexical.lexical_score(lexical.tfidf_query(q, idf), lexical._weighted(counted, idf, "id"))
-    return written(fuse.hybrid_signals(both, scores, c, m, ZONE)), c
+    return m, c, vectors, written(own.join(around, "id")), written(lexical.tfidf_query(q, idf)), lexical.weighted(counted, idf, "id")
+
 
+def signals(spark, sf):
+    """All channels of every question and message, for the queries that return them all."""
+    m, c, vectors, own, query_weights, postings = channels(spark, sf)
+    both = dense.dense_channels(vectors, own, "id", "string", {"semantic": "own", "contextual": "around"}, 0.0, 1.0)
+    return written(fuse.hybrid_signals(both, lexical.lexical_score(query_weights, postings), c, m, ZONE)), c
 
-def scored(spark, sf, profile: str | None = "balanced"):
+
+def scored(spark, sf, profile: str = "balanced"):
     s, c = signals(spark, sf)
-    chosen = fuse.profiles(spark)
-    return fuse.hybrid_scores(s, fuse.weights(c, chosen.where(F.col("profile") == profile) if profile else chosen)), c
+    return fuse.hybrid_scores(s, fuse.weights(c, fuse.profiles(spark).where(F.col("profile") == profile))), c
+
+
+def first(spark, sf, width: int = fuse.POOL, profile: str = "balanced", shared=None):
+    """The rows that can be in a pool, written; no table of all questions and messages."""
+    m, c, vectors, own, query_weights, postings = shared or channels(spark, sf)
+    weighted = fuse.weights(c, fuse.profiles(spark).where(F.col("profile") == profile)).drop("ord", "profile")
+    return written(fuse.first_stage(c, weighted, vectors, query_weights, own, postings, m, ZONE, width)), c
 
 
 ROUNDED = ["semantic", "contextual", "lexical"]
@@ -661,7 +677,7 @@ def align_scores(spark, sf):
     m, q = views.messages(spark, sf), asks(spark, sf)
     counted = written(lexical.counts(m, "id"))
     idf = lexical.document_frequency(m, counted)
-    scores = lexical.lexical_score(lexical.tfidf_query(q, idf), lexical._weighted(counted, idf, "id"))
+    scores = lexical.lexical_score(lexical.tfidf_query(q, idf), lexical.weighted(counted, idf, "id"))
     base = m.select("id").crossJoin(F.broadcast(q.select("query_id")))  # the stated questions
     return fuse.align_scores(base, scores, "lexical").select("query_id", "id", F.round("lexical", 6).alias("lexical"))
 
@@ -677,7 +693,7 @@ TOP_SQL = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DES
 
 @query(f"WITH {SCORED_SQL} SELECT query_id, rank, id, round(score, 6) AS score FROM (SELECT *, {TOP_SQL} AS rank FROM bal) WHERE rank <= 5")
 def hybrid_topk(spark, sf):
-    return fuse.hybrid_topk(scored(spark, sf)[0]).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+    return fuse.hybrid_topk(first(spark, sf, 5)[0]).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 @query()
@@ -693,7 +709,7 @@ POOL_SQL = f"""{SCORED_SQL}, pool AS (SELECT DISTINCT query_id, id FROM (SELECT
 
 @query(f"WITH {POOL_SQL} SELECT query_id, id FROM pool")
 def candidate_pool(spark, sf):
-    return fuse.candidate_pool(written(scored(spark, sf)[0]))
+    return fuse.candidate_pool(first(spark, sf)[0])
 
 
 @query(f"WITH {MESSAGES_SQL} SELECT id, text || chr(10) || 'Sender: ' || sender || '. Sent: ' || timestamp[1:10] || '.' AS said FROM messages")
@@ -706,8 +722,7 @@ pairs AS MATERIALIZED (SELECT query_id, id, CASE WHEN len(a) = 0 THEN 0 ELSE len
 
 
 def paired(spark, sf):
-    rows, c = scored(spark, sf)
-    rows = written(rows)
+    rows, c = first(spark, sf)
     pairs = fuse.pair_score(fuse.candidate_pool(rows), asks(spark, sf), views.messages(spark, sf))
     return rows, pairs, c
 
@@ -745,7 +760,7 @@ def sort_chrono(spark, sf):
 
 @query(f"WITH {SCORED_SQL} SELECT query_id, id, rank FROM (SELECT query_id, id, {TOP_SQL} AS rank FROM bal) WHERE rank <= 3")
 def top_k(spark, sf):
-    return lexical.top_k(scored(spark, sf)[0], "score", "id", 3).select("query_id", "id", "rank")
+    return lexical.top_k(first(spark, sf, 3)[0], "score", "id", 3).select("query_id", "id", "rank")
 
 
 # evaluation
@@ -821,24 +836,33 @@ def failures(spark, sf):
     return evaluate.failures(runs(spark, sf), ranked(spark, sf), people)
 
 
-@query(f"WITH {SCORED_SQL}, {TARGETS_SQL}, one AS (SELECT query_id, id FROM (SELECT query_id, id, {TOP_SQL} AS r FROM bal) WHERE r = 1) SELECT 'hybrid' AS method, query_id, one.id FROM one JOIN tg USING (query_id) JOIN cx ON cx.id = one.id WHERE one.id <> expected_id AND list_contains(list_transform(ctx, lambda m: m.id), expected_id)")
+NEAR_SQL = "coalesce(CASE WHEN query_id % 2 = 0 THEN list_filter(list_transform(ctx, lambda m: m.id), lambda i: i <> one.id)[1] END, expected_id)"
+
+
+@query(f"""WITH {SCORED_SQL}, {TARGETS_SQL}, one AS (SELECT query_id, id FROM (SELECT query_id, id, {TOP_SQL} AS r FROM bal) WHERE r = 1)
+SELECT 'hybrid' AS method, query_id, one.id FROM one JOIN tg USING (query_id) JOIN cx ON cx.id = one.id WHERE {NEAR_SQL} <> one.id AND list_contains(list_transform(ctx, lambda m: m.id), {NEAR_SQL})""")
 def neighbour_misses(spark, sf):
-    first = fuse.hybrid_topk(scored(spark, sf)[0], 3).select(F.lit("hybrid").alias("method"), "query_id", "rank", "id")
-    rows = evaluate.run_rows(targets(spark, sf), first, method_names(spark).where("method = 'hybrid'").select("method"))
-    return evaluate.neighbour_misses(rows, contexts(spark, sf))
+    """The targets of every other question stand next to its first hit, where that has a neighbour."""
+    best, around = written(fuse.hybrid_topk(first(spark, sf, 3)[0], 3).select(F.lit("hybrid").alias("method"), "query_id", "rank", "id")), contexts(spark, sf)
+    near = best.where("rank = 1 and query_id % 2 = 0").join(around, "id").select("query_id", F.get(F.filter(F.transform("ctx", lambda m: m["id"]), lambda i: i != F.col("id")), F.lit(0)).alias("near"))
+    wanted = targets(spark, sf).join(near, "query_id", "left").select("query_id", F.coalesce("near", "expected_id").alias("expected_id"))
+    rows = evaluate.run_rows(wanted, best, method_names(spark).where("method = 'hybrid'").select("method"))
+    return evaluate.neighbour_misses(rows, around)
 
 
 @query(f"""WITH {SCORED_SQL}, {TARGETS_SQL}, rk AS (SELECT ord, profile, query_id, id, row_number() OVER (PARTITION BY profile, query_id ORDER BY round(score, 9) DESC, id) AS r FROM scored),
 ms AS (SELECT ord, profile, count_if(r = 1) AS top1, count(*) AS rec FROM rk JOIN tg USING (query_id) WHERE r <= 3 AND id = expected_id GROUP BY ALL) SELECT profile FROM ms ORDER BY top1 DESC, rec DESC, ord LIMIT 1""")
 def profile_tuning(spark, sf):
-    s, c = signals(spark, sf)
-    rows = fuse.profile_rows(s, fuse.weights(c, fuse.profiles(spark)))
+    shared, rows = channels(spark, sf), None
+    for ord_, profile in enumerate(fuse.PROFILES):
+        best = lexical.top_k(first(spark, sf, 3, profile, shared)[0], "score", "id", 3).select(F.lit(ord_).alias("ord"), F.lit(profile).alias("profile"), "query_id", "rank", "id")
+        rows = best if rows is None else rows.unionByName(best)
     return evaluate.tune(evaluate.profile_measures(rows, targets(spark, sf))).where("profile is not null")
 
 
 @query(f"WITH {POOL_SQL}, {TARGETS_SQL} SELECT query_id, count(id) AS pool, coalesce(bool_or(id = expected_id), false) AS target_in_pool FROM tg LEFT JOIN pool USING (query_id) GROUP BY query_id")
 def candidate_recall(spark, sf):
-    return evaluate.candidate_recall(fuse.candidate_pool(written(scored(spark, sf)[0])), targets(spark, sf))
+    return evaluate.candidate_recall(fuse.candidate_pool(first(spark, sf)[0]), targets(spark, sf))
 
 
 @query(f"WITH {SCORED_SQL}, {TARGETS_SQL} SELECT query_id, r AS target_rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM bal) b JOIN tg USING (query_id) WHERE id = expected_id")

@@ -60,19 +60,25 @@ def test_windows_are_never_global(spark):
     assert "WindowGroupLimit" in ranked
 
 
-def test_threads_are_never_held_whole(spark):
-    """The ids of a thread are joined in pieces: no array of them, and pieces of any size give the same digest."""
+def slow_digest(nodes, size):
     import hashlib
 
+    while True:
+        nodes = [hashlib.md5(",".join(nodes[lo : lo + size]).encode()).hexdigest() for lo in range(0, len(nodes), size)]
+        if len(nodes) == 1:
+            return nodes[0]
+
+
+def test_threads_are_never_held_whole(spark):
+    """The digest of a thread's ids is a tree over pieces of a fixed size: of one level, of several, of a single id."""
     from parleylake.operators import quality
     from parleylake.plans import views
 
-    plan = catalog.QUERIES["thread_audit"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert "collect_list" not in plan
-    records = views.records(spark, SMALL)
+    records = views.records(spark, SMALL).select("thread_id", "ts", "id").unionByName(spark.sql("SELECT 'solo' thread_id, timestamp'2026-01-01' ts, 'x' id"))
     threads = {}
-    for r in sorted(records.where("thread_id is not null").select("thread_id", "ts", "id").collect()):
+    for r in sorted(records.where("thread_id is not null").collect()):
         threads.setdefault(r["thread_id"], []).append(r["id"])
-    want = {t: hashlib.md5(",".join(ids).encode()).hexdigest() for t, ids in threads.items()}
-    for size in (1, 7, quality.PIECE):
-        assert {r["of_ids"]: r["ids_md5"] for r in quality.ordered_digest(records.repartition(5), size).collect()} == want
+    assert max(map(len, threads.values())) == 9
+    for size in (2, 9, quality.PIECE):
+        assert {r["of_ids"]: r["ids_md5"] for r in quality.ordered_digest(records.repartition(5), size).collect()} == {t: slow_digest(ids, size) for t, ids in threads.items()}
+    assert quality.ordered_digest(records.limit(0)).count() == 0
