@@ -13,7 +13,7 @@ from parleylake.functions import text as T
 from parleylake.operators import annotate, context, dense, evaluate, fuse, lexical, quality, ranges
 from parleylake.plans import views
 from parleylake.plans.views import MEANT_SQL, MESSAGES_SQL, PARTICIPANTS_SQL, RECORDS_SQL, REFERENCE_DATE, ZONE
-from parleylake.sources import io
+from parleylake.sources import io, lexical_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,7 +147,7 @@ def alias_dim(spark, sf):
 def write_reports(spark, sf):
     path, rows = folder(spark), runs(spark, sf)
     io.write_reports(evaluate.metrics(rows), rows, path, 4)
-    return spark.read.parquet(f"{path}/rows").groupBy("method").agg(F.count("*").alias("n"), F.count_if("top1_correct").alias("top1"))
+    return io.read_reports(spark, path, "rows").groupBy("method").agg(F.count("*").alias("n"), F.count_if("top1_correct").alias("top1"))
 
 
 @query(f"WITH {MESSAGES_SQL} SELECT DISTINCT sha256('words-64' || chr(31) || text) AS key FROM messages WHERE sha256('words-64' || chr(31) || text) NOT IN (SELECT sha256('words-64' || chr(31) || text) FROM messages WHERE chat_id % 2 = 0)")
@@ -520,12 +520,24 @@ def lexical_score(spark, sf):
     return lexical.lexical_score(lexical.tfidf_query(passages(spark, sf), idf), postings, "doc_id").withColumn("lexical", F.round("lexical", 6))
 
 
-@query(f"WITH {SCORES_SQL} SELECT q AS query_id, doc_id, rank, round(s, 6) AS lexical FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, doc_id)::INTEGER AS rank FROM sc WHERE round(s, 9) > 0) WHERE rank <= 5")
+TOPK_SQL = f"WITH {SCORES_SQL} SELECT q AS query_id, doc_id, rank, round(s, 6) AS lexical FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, doc_id)::INTEGER AS rank FROM sc WHERE round(s, 9) > 0) WHERE rank <= 5"
+
+
+@query(TOPK_SQL)
 def lexical_topk(spark, sf):
     postings, idf = index(spark, sf)
     return lexical.lexical_topk(passages(spark, sf), postings, idf, 5, "doc_id").select("query_id", "doc_id", "rank", F.round("lexical", 6).alias("lexical"))
 
 
+@query(TOPK_SQL)
+def stored_topk(spark, sf):
+    """The same from an index on disk that took the documents in three batches."""
+    docs, store = documents(spark, sf), lexical_store.LexicalStore(spark, folder(spark), "doc_id", "bigint")
+    for batch in range(3):
+        store.append(docs.where(F.col("doc_id") % 3 == batch), f"batch{batch}")
+    return store.topk(passages(spark, sf)).select("query_id", "doc_id", "rank", F.round("lexical", 6).alias("lexical"))
+
+
 @query(f"WITH {TERMS_SQL} SELECT channel, count(*) AS terms FROM idf GROUP BY channel")
 def vocab_stats(spark, sf):
     return lexical.vocab_stats(lexical.counts(documents(spark, sf), "doc_id"))

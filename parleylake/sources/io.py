@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parleylake.functions.text import MESSAGE_TYPES, normalize_text
+from parleylake.operators.dense import vector_problems
 from parleylake.operators.evaluate import guarded
 
 FIELDS = ["id", "timestamp", "sender", "text"]
@@ -79,14 +82,43 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_reports(comparison: DataFrame, rows: DataFrame, path: str, methods: int) -> None:
-    """The comparison as CSV and JSON and the methods' rows as Parquet, once all methods have answered the same questions."""
+    """The comparison as CSV and JSON and the methods' rows as Parquet, once all methods have answered the same questions.
+
+    All three go into a new folder, and one commit at the end makes it the current report (see ``read_reports``).
+    """
     facts = rows.groupBy("method").agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("ids"), F.sum(F.crc32(F.concat_ws("|", F.col("query_id").cast("string"), F.col("expected_id").cast("string")))).alias("inputs"))
     held = facts.agg(F.count("*").alias("methods"), F.count_distinct("n", "ids", "inputs").alias("kinds"), F.bool_and(F.col("n") == F.col("ids")).alias("once")).first()
     if held["methods"] != methods or held["kinds"] != 1 or not held["once"]:
         raise ValueError("the methods did not all answer the same questions once")
-    comparison.write.mode("overwrite").option("header", True).csv(f"{path}/comparison_csv")
-    comparison.write.mode("overwrite").json(f"{path}/comparison_json")
-    rows.write.mode("overwrite").partitionBy("method").parquet(f"{path}/rows")
+    spark, run, done = rows.sparkSession, f"run-{uuid.uuid4().hex}", _commits(rows.sparkSession, f"{path}/published")
+    comparison.write.option("header", True).csv(f"{path}/{run}/comparison_csv")
+    comparison.write.json(f"{path}/{run}/comparison_json")
+    rows.write.partitionBy("method").parquet(f"{path}/{run}/rows")
+    _commit(spark, f"{path}/published", len(done), run)
+
+
+def read_reports(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """``comparison_csv``, ``comparison_json`` or ``rows`` of the report that was published last; one that failed on the way is never seen."""
+    where = f"{path}/{_commits(spark, f'{path}/published')[-1]['batch']}/{part}"
+    return spark.read.option("header", True).csv(where) if part.endswith("csv") else spark.read.json(where) if part.endswith("json") else spark.read.parquet(where)
+
+
+COMMIT = "at int, batch string, n long, dims int, checksum string"
+
+
+def _commits(spark: SparkSession, path: str) -> list:
+    """The commits under ``path`` in order: a row and a folder each."""
+    try:
+        return spark.read.schema(COMMIT).parquet(f"{path}/*").orderBy("at").collect()
+    except Exception as absent:
+        if "PATH_NOT_FOUND" not in str(absent):
+            raise
+        return []
+
+
+def _commit(spark: SparkSession, path: str, at: int, batch: str, n: int = 0, dims: int = 0, checksum: str = "") -> None:
+    """Publish ``batch`` as commit number ``at``; a second writer who takes the same number fails, as its folder is there."""
+    spark.createDataFrame([(at, batch, n, dims, checksum)], COMMIT).coalesce(1).write.mode("errorifexists").parquet(f"{path}/{at:09d}")
 
 
 def store_key(text: Column, settings: str) -> Column:
@@ -99,15 +131,49 @@ def new_texts(texts: DataFrame, store: DataFrame, settings: str) -> DataFrame:
     return wanted.join(store.select("key"), "key", "left_anti")
 
 
-def extend_store(texts: DataFrame, path: str, settings: str, encode: Column) -> DataFrame:
-    """Append the vectors of new texts to the Parquet store at ``path`` and return the whole store; ``encode`` is a column over ``text``."""
+STORE = "key string, vector array<float>"
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The committed vectors (``key``, ``vector``); an absent store is empty."""
+    done = [f"{path}/vectors/{c['batch']}" for c in _commits(spark, f"{path}/commits")]
+    return spark.read.schema(STORE).parquet(*done) if done else spark.createDataFrame([], STORE)
+
+
+def _facts(batch: DataFrame) -> DataFrame:
+    """One row: vectors, their sizes, those that can't be normalised, and a sum over all that no order changes."""
+    whole = F.xxhash64("key", F.to_json(F.struct("vector"))).cast("decimal(38,0)")
+    size = F.size("vector")
+    bad = F.count_if(F.coalesce(F.size(vector_problems(F.col("vector"), size)) > 0, F.lit(True)) | F.col("key").isNull())
+    return batch.agg(F.count("*").alias("n"), F.coalesce(F.min(size), F.lit(0)).alias("least"), F.coalesce(F.max(size), F.lit(0)).alias("most"), bad.alias("bad"), F.coalesce(F.sum(whole).cast("string"), F.lit("")).alias("checksum"))
+
+
+def check_store(spark: SparkSession, path: str) -> None:
+    """End with an error if a committed batch isn't what was committed: a file is missing, damaged or changed."""
+    for c in _commits(spark, f"{path}/commits"):  # a batch for each run
+        try:
+            found = _facts(spark.read.schema(STORE).parquet(f"{path}/vectors/{c['batch']}")).first()
+        except Exception as broken:
+            raise ValueError(f"the batch {c['batch']} can't be read") from broken
+        if (found["n"], found["checksum"]) != (c["n"], c["checksum"]):
+            raise ValueError(f"the batch {c['batch']} isn't what was committed")
+
+
+def extend_store(texts: DataFrame, path: str, settings: str, encode: Column, verify: bool = False) -> DataFrame:
+    """Add the vectors of new texts to the store at ``path`` and return the whole store; ``encode`` is a column over ``text``.
+
+    Vectors are written as a batch and read back: null, ragged, zero and non-finite ones, or another size than
+    the store's, end the job, and so does a writer who committed meanwhile; the batch is then never read. With
+    ``verify`` the batches before it are checked first.
+    """
     spark = texts.sparkSession
-    schema = "key string, vector array<float>"
-    try:
-        store = spark.read.schema(schema).parquet(path)
-    except Exception as absent:
-        if "PATH_NOT_FOUND" not in str(absent):
-            raise
-        store = spark.createDataFrame([], schema)
-    new_texts(texts, store, settings).select("key", encode.cast("array<float>").alias("vector")).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    if verify:
+        check_store(spark, path)
+    done, batch = _commits(spark, f"{path}/commits"), uuid.uuid4().hex
+    new_texts(texts, read_store(spark, path), settings).select("key", encode.cast("array<float>").alias("vector")).write.parquet(f"{path}/vectors/{batch}")
+    found = _facts(spark.read.schema(STORE).parquet(f"{path}/vectors/{batch}")).first()
+    if found["n"]:
+        if found["bad"] or found["least"] != found["most"] or done and done[0]["dims"] != found["most"]:
+            raise ValueError(f"{found['bad']} vectors can't be used, sizes are {found['least']} to {found['most']}")
+        _commit(spark, f"{path}/commits", len(done), batch, found["n"], found["most"], found["checksum"])
+    return read_store(spark, path)
