@@ -139,3 +139,18 @@ def lexical_topk(queries: DataFrame, postings: DataFrame, idf: DataFrame, k: int
 def vocab_stats(own: DataFrame) -> DataFrame:
     """Distinct terms a channel."""
     return own.select("channel", "term").distinct().groupBy("channel").agg(F.count("*").alias("terms"))
+
+
+#: Registers of a sketch (2 to this power), and the relative standard error that they give.
+SKETCH_BITS = 14
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def vocab_sketches(own: DataFrame) -> DataFrame:
+    """(``channel``, ``sketch``) of a batch's terms: some kilobytes a channel, however many terms there are. Keep one a batch and merge them with ``vocab_estimate``."""
+    return own.groupBy("channel").agg(F.hll_sketch_agg("term", SKETCH_BITS).alias("sketch"))
+
+
+def vocab_estimate(sketches: DataFrame) -> DataFrame:
+    """Distinct terms a channel over the batches of ``sketches``, with a standard error of ``SKETCH_ERROR``: the approximate ``vocab_stats``, which reads no text and moves no term again."""
+    return sketches.groupBy("channel").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("terms"))
