@@ -329,12 +329,13 @@ def content_words(spark, sf):
 @query(f"""WITH l AS (SELECT *, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS other FROM documents), c AS (SELECT doc_id, {CONTENT_SQL.format('text')} AS a, {CONTENT_SQL.format('other')} AS b FROM l WHERE other IS NOT NULL)
 SELECT doc_id, len(list_intersect(a, b))::INTEGER AS shared, len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) = 0 AS zero_overlap FROM c""")
 def zero_overlap(spark, sf):
-    """Each document and the next of its source: narrow rows are numbered by ranges, and texts meet by id."""
-    placed = written(ranges.numbered(views.table(spark, sf, "documents").select("source", "doc_id"), ["source", "doc_id"], "place"))
-    after = placed.select("source", F.col("doc_id").alias("next_id"), (F.col("place") - 1).alias("place"))
-    texts = documents(spark, sf)
-    rows = placed.join(after, ["source", "place"]).select("doc_id", "next_id").join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("next_id"), F.col("text").alias("other")), "next_id").where("other is not null")
-    rows = rows.select("doc_id", T.content_words(F.col("text")).alias("a"), T.content_words(F.col("other")).alias("b"))
+    """Each document and the next of its source: words are taken once a document, narrow rows are numbered by ranges, and words meet by id."""
+    docs = views.table(spark, sf, "documents")
+    words = written(docs.select("doc_id", "source", F.when(F.col("text").isNotNull(), T.content_words(F.col("text"))).alias("w")))
+    placed = written(ranges.numbered(words.select("source", "doc_id"), ["doc_id"], "place", within=["source"]))
+    after = placed.select(F.col("source").alias("of"), F.col("doc_id").alias("next_id"), (F.col("place") - 1).alias("before"))
+    pairs = placed.join(after, F.col("source").eqNullSafe(F.col("of")) & (F.col("place") == F.col("before"))).select("doc_id", "next_id")
+    rows = pairs.join(words.select("doc_id", F.coalesce("w", F.array().cast("array<string>")).alias("a")), "doc_id").join(words.select(F.col("doc_id").alias("next_id"), F.col("w").alias("b")), "next_id").where("b is not null")
     return rows.select("doc_id", F.size(F.array_intersect("a", "b")).alias("shared"), T.zero_overlap(F.col("a"), F.col("b")).alias("zero_overlap"))
 
 

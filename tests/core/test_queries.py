@@ -14,17 +14,28 @@ from parleylake.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
 #: The stages that `search` runs through have their own entries; these would repeat its work.
-LONG = {"hybrid_signals", "hybrid_topk", "top_k", "candidate_pool", "pair_score", "rerank_topk", "candidate_recall", "target_rank", "neighbour_misses", "lexical_score", "tfidf_query", "vocab_stats", "eligible_counts", "thread_coverage"}
+LONG = {"hybrid_topk", "top_k", "pair_score", "candidate_recall", "target_rank", "lexical_score", "tfidf_query", "vocab_stats", "eligible"}
+#: What numbers, ranges or ranks is run on tables that fill several ranges and partitions too.
+LARGE, NUMBERED = "/root/testdata/sf0.1", ["row_violations", "label_violations", "assign_ids", "zero_overlap", "dataset_violations", "thread_audit", "semantic_topk", "eligible_counts"]
 
 
-@pytest.fixture(scope="module")
-def con():
+def views_of(folder):
     c = duckdb.connect()
-    for name in os.listdir(SMALL):
-        c.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{SMALL}/{name}'")
+    for name in os.listdir(folder):
+        c.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{name}'")
     return c
 
 
+@pytest.fixture(scope="module")
+def con():
+    return views_of(SMALL)
+
+
+@pytest.fixture(scope="module")
+def large():
+    return views_of(LARGE)
+
+
 def plain(value):
     if isinstance(value, decimal.Decimal):
         value = float(value)
@@ -33,7 +44,16 @@ def plain(value):
 
 @pytest.mark.parametrize("name", [n for n in catalog.ORACLES if n not in LONG or os.environ.get("ALL_QUERIES")])
 def test_query_equals_its_sql(spark, con, name):
-    got = catalog.QUERIES[name](spark, SMALL)
+    equal(spark, con, name, SMALL)
+
+
+@pytest.mark.parametrize("name", NUMBERED)
+def test_query_equals_its_sql_on_larger_tables(spark, large, name):
+    equal(spark, large, name, LARGE)
+
+
+def equal(spark, con, name, folder):
+    got = catalog.QUERIES[name](spark, folder)
     out = con.execute(catalog.ORACLES[name])
     columns = sorted(c[0] for c in out.description)
     assert sorted(got.columns) == columns
