@@ -63,24 +63,25 @@ def format_pairs(pairs: DataFrame, id_col: str = "pair_id", chosen_col: str = "c
 
 
 def pairs_from_conversations(turns: DataFrame, role: str = "assistant") -> DataFrame:
-    """A pair for every conversation with an answer: as it is up to its last answer, and with an earlier answer in that one's place.
+    """A pair for every conversation: the whole of it, and the same up to one of its answers, which another text takes the place of.
 
-    The stand-in is the answer before the last, or nothing where there is none. Turns are ordered by
-    number (null first), then role and text, null roles and texts being ''; repeated turns stay repeated;
-    conversations without answers give no pair, nor do turns without a ``conv_id``, which belong to no
+    Which answer it is goes by the id (its remainder by the number of answers), so pairs branch early and late.
+    The text in its place is the answer before it, or nothing for the first. A conversation without answers
+    is rejected with an empty answer after it. Turns are ordered by number (null first), then role and text,
+    null roles and texts being ''; repeated turns stay repeated; turns without a ``conv_id`` belong to no
     conversation; an empty table gives no pairs; further columns are ignored. A pair is one row, so a
     conversation's turns must fit in a task.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     whole = turns.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     whole = whole.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))))
-    answers = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == role)
-    whole = whole.withColumn("answers", answers).where(F.size("answers") > 0)
-    last, before = F.element_at("answers", -1), F.try_element_at("answers", F.lit(-2))
+    whole = whole.withColumn("answers", F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == role))
+    n = F.size("answers")
+    branch = F.when(n > 0, F.abs("conv_id") % n + 1).cast("int")
+    at = F.when(n > 0, F.try_element_at("answers", branch)).otherwise(F.size("turns") + 1)
+    before = F.when(branch > 1, F.try_element_at("answers", branch - 1))
     stand_in = F.struct(F.lit(role).alias("role"), F.coalesce(F.try_element_at("turns", before)["content"], F.lit("")).alias("content"))
-    return whole.select(
-        F.col("conv_id").alias("pair_id"), F.slice("turns", F.lit(1), last).alias("chosen"), F.concat(F.slice("turns", F.lit(1), last - 1), F.array(stand_in)).alias("rejected")
-    )
+    return whole.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.concat(F.slice("turns", F.lit(1), at - 1), F.array(stand_in)).alias("rejected"))
 
 
 def spans_text(spans: str) -> Column:
@@ -93,20 +94,25 @@ def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumns({"chosen_mask": spans_text("chosen_mask"), "rejected_mask": spans_text("rejected_mask")}).withColumnRenamed("pair_id", "conv_id")
 
 
-ORACLE = r"""
-WITH t AS (SELECT conv_id, list({'turn': turn, 'role': coalesce(role, ''), 'content': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-  w AS (SELECT conv_id, ts, list_filter(generate_series(1, len(ts)), lambda i: ts[i].role = 'assistant') AS ans FROM t),
-  p AS (SELECT conv_id, list_transform(ts[1:ans[-1]], lambda x: {'role': x.role, 'content': x.content}) AS a,
-               list_transform(ts[1:ans[-1] - 1], lambda x: {'role': x.role, 'content': x.content}) ||
-                 [{'role': 'assistant', 'content': CASE WHEN len(ans) > 1 THEN ts[ans[len(ans) - 1]].content ELSE '' END}] AS b
-        FROM w WHERE len(ans) > 0),
-  c AS (SELECT conv_id, a, b, CASE WHEN a[-1] = b[-1] THEN len(a) ELSE len(a) - 1 END AS n_common FROM p),
+def _rendered_sql(turns: str) -> str:
+    return f"coalesce(array_to_string(list_transform({turns}, lambda x: '<|' || x.role || '|>' || chr(10) || x.content || '<|end|>' || chr(10)), ''), '')"
+
+
+def _mask_sql(turns: str) -> str:
+    """A turn's rendering has 13 characters besides its role and content; 5 of them and the role stand before the content, 7 behind it are seen."""
+    before = f"coalesce(list_sum(list_transform({turns}[1:i - 1], lambda x: length(x.role) + length(x.content) + 13)), 0) + 14"
+    own = f"list_filter(generate_series(1, len({turns})), lambda i: {turns}[i].role = 'assistant')"
+    return f"coalesce(array_to_string(list_transform({own}, lambda i: ({before})::BIGINT || ':' || ({before} + length({turns}[i].content) + 7)::BIGINT), ','), '')"
+
+
+#: The common prefix is searched for: the first place where the turns differ.
+ORACLE = f"""
+WITH t AS (SELECT conv_id, list({{'turn': turn, 'role': coalesce(role, ''), 'content': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+  w AS (SELECT conv_id, list_transform(ts, lambda x: {{'role': x.role, 'content': x.content}}) AS a, list_filter(generate_series(1, len(ts)), lambda i: ts[i].role = 'assistant') AS ans FROM t),
+  k AS (SELECT *, CASE WHEN len(ans) > 0 THEN abs(conv_id) % len(ans) + 1 END AS br FROM w),
+  p AS (SELECT conv_id, a, a[1:coalesce(ans[br], len(a) + 1) - 1] || [{{'role': 'assistant', 'content': CASE WHEN br > 1 THEN a[ans[br - 1]].content ELSE '' END}}] AS b FROM k),
+  c AS (SELECT *, coalesce(list_filter(generate_series(1, least(len(a), len(b))), lambda i: a[i].role <> b[i].role OR a[i].content <> b[i].content)[1] - 1, least(len(a), len(b))) AS n_common FROM p),
   r AS (SELECT conv_id, n_common, a[1:n_common] AS pre, a[n_common + 1:] AS ra, b[n_common + 1:] AS rb FROM c)
-SELECT conv_id, n_common::INTEGER AS n_common,
-  coalesce(array_to_string(list_transform(pre, lambda x: '<|' || x.role || '|>' || chr(10) || x.content || '<|end|>' || chr(10)), ''), '') AS prompt,
-  coalesce(array_to_string(list_transform(ra, lambda x: '<|' || x.role || '|>' || chr(10) || x.content || '<|end|>' || chr(10)), ''), '') AS chosen,
-  CASE WHEN len(ra) = 0 THEN '' ELSE '14:' || (14 + length(ra[1].content) + 7) END AS chosen_mask,
-  coalesce(array_to_string(list_transform(rb, lambda x: '<|' || x.role || '|>' || chr(10) || x.content || '<|end|>' || chr(10)), ''), '') AS rejected,
-  CASE WHEN len(rb) = 0 THEN '' ELSE '14:' || (14 + length(rb[1].content) + 7) END AS rejected_mask
+SELECT conv_id, n_common::INTEGER AS n_common, {_rendered_sql("pre")} AS prompt, {_rendered_sql("ra")} AS chosen, {_mask_sql("ra")} AS chosen_mask, {_rendered_sql("rb")} AS rejected, {_mask_sql("rb")} AS rejected_mask
 FROM r
 """

@@ -161,12 +161,22 @@ def test_chat_pairs(spark):
     assert chat.format_pairs(df.limit(0)).count() == 0
 
 
+def test_chat_pairs_branch_at_any_answer(spark):
+    """A conversation of three answers, under ids that take each of them in turn: the chosen side is whole, the rejected one ends at its branch."""
+    said = [("user", "q0"), ("assistant", "a0"), ("user", "q1"), ("assistant", "a1"), ("assistant", "a2"), ("user", "q3")]
+    df = spark.createDataFrame([(c, i, *t) for c in (-1, 0, 1, 2) for i, t in enumerate(said)], "conv_id long, turn int, role string, text string")
+    got = {r["pair_id"]: (r["n_common"], r["rejected"]) for r in chat.format_pairs(chat.pairs_from_conversations(df)).collect()}
+    end = lambda text: f"<|assistant|>\n{text}<|end|>\n"
+    assert got == {0: (1, end("")), 1: (3, end("a0")), -1: (3, end("a0")), 2: (4, end("a1"))}
+
+
 def test_chat_turns_without_a_conversation(spark):
-    """Turns without a conversation give no pair; null numbers come first, repeated turns stay."""
+    """Turns without a conversation give no pair, conversations without answers do; null numbers come first, repeated turns stay, also after the answer."""
     turns = [(None, 1, "user", "x"), (None, 2, "assistant", "y"), (1, 2, "assistant", "b"), (1, None, "user", "a"), (1, 3, None, None), (1, 2, "assistant", "b"), (2, 1, "user", "only")]
     df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn int, role string, text string, pair_id int")
-    got = [(r["pair_id"], [tuple(x) for x in r["chosen"]], [tuple(x) for x in r["rejected"]]) for r in chat.pairs_from_conversations(df).collect()]
-    assert got == [(1, [("user", "a"), ("assistant", "b"), ("assistant", "b")], [("user", "a"), ("assistant", "b"), ("assistant", "b")])]
+    got = sorted((r["pair_id"], [tuple(x) for x in r["chosen"]], [tuple(x) for x in r["rejected"]]) for r in chat.pairs_from_conversations(df).collect())
+    own = [("user", "a"), ("assistant", "b"), ("assistant", "b")]
+    assert got == [(1, [*own, ("", "")], own), (2, [("user", "only")], [("user", "only"), ("assistant", "")])]
     assert chat.pairs_from_conversations(df.limit(0)).count() == 0
 
 
