@@ -22,8 +22,8 @@ from parleylake.operators.lexical import QUERY_TERMS, SHARES
 from parleylake.operators.ranges import numbered
 
 CHANNELS = ["semantic", "contextual", "lexical"]
-#: Messages and questions of one matrix; candidates that a task holds before it prunes them.
-ROWS, ASKED, HELD = 8_192, 256, 500_000
+#: Messages and questions of one matrix, products of terms at once, and candidates that a task holds before it prunes them.
+ROWS, ASKED, PRODUCTS, HELD = 2_048, 256, 2_000_000, 200_000
 
 
 def firsts(scores: np.ndarray, k: int) -> np.ndarray:
@@ -138,9 +138,16 @@ class _Asked:
         known[known] = self.terms[at[known]] == t[known]
         row, at, weight = row[known], at[known], weight[known]
         sizes = self.begin[at + 1] - self.begin[at]
-        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.begin[at], sizes)
-        cells = np.repeat(row, sizes) * len(self.ids) + self.row[place]
-        return np.bincount(cells, weights=self.weight[place] * np.repeat(weight, sizes), minlength=n * len(self.ids)).reshape(n, len(self.ids))
+        out = np.zeros((n, len(self.ids)))
+        ends = np.searchsorted(row, np.arange(n + 1))  # postings are by row
+        step = np.cumsum(np.bincount(row, weights=sizes, minlength=n)) // PRODUCTS
+        for lo, hi in zip(*(np.searchsorted(step, np.unique(step), side) for side in ("left", "right")), strict=True):
+            own = slice(ends[lo], ends[hi])
+            k = sizes[own]
+            place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(self.begin[at[own]], k)
+            cells = np.repeat(row[own] - lo, k) * len(self.ids) + self.row[place]
+            out[lo:hi] = np.bincount(cells, weights=self.weight[place] * np.repeat(weight[own], k), minlength=(hi - lo) * len(self.ids)).reshape(hi - lo, len(self.ids))
+        return out
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], asked: pa.Table, width: int, key: str) -> Iterator[pa.RecordBatch]:

@@ -82,7 +82,7 @@ def slow_first(messages, queries):
 @pytest.mark.parametrize(("block", "chunk", "rows", "asked"), [(4096, 65_536, 8_192, 256), (4, 20, 16, 3)])
 def test_first_stage_of_all_pairs(spark, monkeypatch, block, chunk, rows, asked):
     """Broadcast, and in blocks of questions and chunks of messages, with small matrices."""
-    for where, name, value in ((dense, "QUERY_BLOCK", block), (dense, "ROW_CHUNK", chunk), (pool, "ROWS", rows), (pool, "ASKED", asked)):
+    for where, name, value in ((dense, "QUERY_BLOCK", block), (dense, "ROW_CHUNK", chunk), (pool, "ROWS", rows), (pool, "ASKED", asked), (pool, "PRODUCTS", rows)):
         monkeypatch.setattr(where, name, value)
     messages, queries, m, q = tables(spark)
     pairs = slow_first(messages, queries)
