@@ -94,7 +94,11 @@ def dense_channels(queries: DataFrame, rows: DataFrame, key: str, key_type: str,
 
 def _by_blocks(queries: DataFrame, rows: DataFrame, key: str, key_type: str, channels: dict[str, str], low: float, high: float, keep: int | None) -> DataFrame:
     schema = f"query_id long, {key} {key_type}, " + ", ".join(f"{name} double" for name in channels)
-    return in_blocks(queries.select("query_id", "vector"), rows.select(key, *channels.values()), key, lambda b, asked: _products(b, _matrix(asked), key, channels, low, high, keep), schema)
+    return in_blocks(queries.select("query_id", "vector"), rows.select(key, *channels.values()), key, lambda b, asked: products(b, matrix_of(asked), key, channels, low, high, keep), schema)
+
+
+def dealt(column: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
 
 
 def in_blocks(queries: DataFrame, rows: DataFrame, key: str, work, schema: str) -> DataFrame:
@@ -107,7 +111,6 @@ def in_blocks(queries: DataFrame, rows: DataFrame, key: str, work, schema: str)
         block = rows.sparkSession.sparkContext.broadcast(held)
         return rows.mapInArrow(lambda b: work(b, block.value) if block.value.num_rows else iter(()), schema)
     blocks, chunks = (-(-n // size) for n, size in ((queries.count(), QUERY_BLOCK), (rows.count(), ROW_CHUNK)))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
     ours = queries.select("*", dealt("query_id", blocks).alias("_block"), spread(chunks).alias("_chunk"))
     theirs = rows.select("*", dealt(key, max(chunks, 1)).alias("_chunk"), spread(blocks).alias("_block"))
@@ -120,13 +123,13 @@ def in_blocks(queries: DataFrame, rows: DataFrame, key: str, work, schema: str)
     return theirs.groupBy("_block", "_chunk").cogroup(ours.groupBy("_block", "_chunk")).applyInArrow(meet, schema)
 
 
-def _matrix(asked: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def matrix_of(asked: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of queries."""
     vectors = asked.column("vector").to_pylist()
     return asked.column("query_id").to_numpy(), np.array(vectors, float).reshape(len(vectors), -1 if vectors else 0)
 
 
-def _products(batches: Iterator[pa.RecordBatch], block, key: str, channels: dict[str, str], low: float, high: float, keep: int | None) -> Iterator[pa.RecordBatch]:
+def products(batches: Iterator[pa.RecordBatch], block, key: str, channels: dict[str, str], low: float, high: float, keep: int | None) -> Iterator[pa.RecordBatch]:
     """``keep`` is for one channel, as each channel has its own best rows."""
     ids, matrix = block
     for batch in batches:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parleylake.functions import text as T
-from parleylake.operators import annotate, context, dense, evaluate, fuse, lexical, quality, ranges
+from parleylake.operators import annotate, cells, context, dense, evaluate, fuse, lexical, quality, ranges
 from parleylake.plans import views
 from parleylake.plans.views import MEANT_SQL, MESSAGES_SQL, PARTICIPANTS_SQL, RECORDS_SQL, REFERENCE_DATE, ZONE
 from parleylake.sources import io, lexical_store
@@ -544,7 +544,10 @@ def vocab_stats(spark, sf):
     return lexical.vocab_stats(lexical.counts(documents(spark, sf), "doc_id"))
 
 
-@query("SELECT a.vec_id AS query_id, b.vec_id, rank, round(s, 6) AS score FROM (SELECT q.vec_id AS a_id, e.vec_id AS b_id, s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(s, 9) DESC, e.vec_id)::INTEGER AS rank FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q, embeddings e, LATERAL (SELECT list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) / sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS s)) r JOIN embeddings a ON a.vec_id = a_id JOIN embeddings b ON b.vec_id = b_id WHERE rank <= 5")
+NEAREST_SQL = "SELECT a.vec_id AS query_id, b.vec_id, rank, round(s, 6) AS score FROM (SELECT q.vec_id AS a_id, e.vec_id AS b_id, s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(s, 9) DESC, e.vec_id)::INTEGER AS rank FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q, embeddings e, LATERAL (SELECT list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) / sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS s)) r JOIN embeddings a ON a.vec_id = a_id JOIN embeddings b ON b.vec_id = b_id WHERE rank <= 5"
+
+
+@query(NEAREST_SQL)
 def semantic_topk(spark, sf):
     """Stated queries: every fiftieth vector, against all."""
     rows = views.table(spark, sf, "embeddings").select("vec_id", dense.unit(F.col("embedding")).alias("vector"))
@@ -552,6 +555,15 @@ def semantic_topk(spark, sf):
     return dense.semantic_topk(asks, rows, 5, "vec_id", "long").select("query_id", "vec_id", "rank", F.round("semantic", 6).alias("score"))
 
 
+@query(NEAREST_SQL)
+def cell_topk(spark, sf):
+    """The same through an index of cells, which reads only the blocks that can hold one of the nearest."""
+    rows = views.table(spark, sf, "embeddings").select("vec_id", dense.unit(F.col("embedding")).alias("vector"))
+    asks = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    found, _ = cells.cell_topk(asks, cells.cell_index(rows, written, "vec_id"), written, 5, "vec_id")
+    return found.select("query_id", "vec_id", "rank", F.round("semantic", 6).alias("score"))
+
+
 @query()
 def embed(spark, sf):
     return dense.embed(views.messages(spark, sf)).select("id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))

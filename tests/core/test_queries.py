@@ -16,7 +16,7 @@ SMALL = "/root/testdata/sf0.001"
 #: The stages that `search` runs through have their own entries; these would repeat its work.
 LONG = {"hybrid_topk", "top_k", "pair_score", "candidate_recall", "target_rank", "lexical_score", "tfidf_query", "vocab_stats", "eligible"}
 #: What numbers, ranges or ranks is run on tables that fill several ranges and partitions too.
-LARGE, NUMBERED = "/root/testdata/sf0.1", ["row_violations", "label_violations", "assign_ids", "zero_overlap", "dataset_violations", "thread_audit", "semantic_topk", "eligible_counts"]
+LARGE, NUMBERED = "/root/testdata/sf0.1", ["row_violations", "label_violations", "assign_ids", "zero_overlap", "dataset_violations", "thread_audit", "semantic_topk", "cell_topk", "eligible_counts"]
 
 
 def views_of(folder):
