@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,29 +50,32 @@ def question_text(query: Column) -> Column:
 # people
 
 
-#: Up to so many aliases are looked up within each query's row; a larger dimension is joined with the queries' words.
-MAX_ALIASES = 10_000
+#: Up to so many aliases are looked up within each query's row. Of a larger dimension up to so many hashes (8 bytes each) are
+#: broadcast, and only stretches of words whose hash is among them leave their row; one larger still is joined with all stretches.
+MAX_ALIASES, MAX_HASHES = 10_000, 4_000_000
+MENTIONS = "array<struct<less:int,alias:string,at:int,size:int,names:array<string>>>"
+
+
+def _stretches(n: int) -> Column:
+    """(at, size, alias) of the ``n`` parts from each word on."""
+    at = F.sequence(F.lit(0), F.size("parts") - 1)
+    spot = lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.array_join(F.slice("parts", i + 1, F.lit(n)), "").alias("alias"))
+    return F.transform(F.filter(at, lambda i: (i + n <= F.size("parts")) & F.get("parts", i).rlike(f"^{W}")), spot)
 
 
 def _looked_up(rows: DataFrame, aliases: list, longest: int) -> DataFrame:
     """``rows`` with ``all``, the mentions of each: stretches of words that are among the aliases, found without moving a row."""
     names = {r["alias"]: r["names"] for r in aliases}
     beside = rows.sparkSession.createDataFrame([(names,)], "_names map<string,array<string>>")  # one row
-    at = F.sequence(F.lit(0), F.size("parts") - 1)
-
-    def stretches(n: int) -> Column:
-        spot = lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.array_join(F.slice("parts", i + 1, F.lit(n)), "").alias("alias"))
-        inside = F.filter(at, lambda i: (i + n <= F.size("parts")) & F.get("parts", i).rlike(f"^{W}"))
-        return F.filter(F.transform(inside, spot), lambda s: s["alias"].isin(list(names)))
-
+    among = lambda n: F.filter(_stretches(n), lambda s: s["alias"].isin(list(names)))
     none = F.array().cast("array<struct<at:int,size:int,alias:string>>")
-    found = F.when(F.size("parts") > 0, F.concat(*[stretches(2 * n - 1) for n in range(1, longest + 1)])).otherwise(none) if names else none
+    found = F.when(F.size("parts") > 0, F.concat(*[among(2 * n - 1) for n in range(1, longest + 1)])).otherwise(none) if names else none
     rows = rows.withColumn("_found", found).crossJoin(F.broadcast(beside))
     mention = lambda s: F.struct((-F.char_length(s["alias"])).alias("less"), s["alias"].alias("alias"), s["at"].alias("at"), s["size"].alias("size"), F.try_element_at("_names", s["alias"]).alias("names"))
     return rows.withColumn("all", F.array_sort(F.transform("_found", mention))).drop("_found", "_names")
 
 
-def person_mentions(queries: DataFrame, aliases: DataFrame, longest: int = 3, max_aliases: int = MAX_ALIASES) -> DataFrame:
+def person_mentions(queries: DataFrame, aliases: DataFrame, longest: int = 3, max_aliases: int = MAX_ALIASES, max_hashes: int = MAX_HASHES) -> DataFrame:
     """Per query: ``text``, ``candidates`` (names), ``person`` (if there is one candidate), ``marked`` (the text with a sure mention hidden).
 
     Stretches of up to ``longest`` words are looked up in the alias dimension (``alias``, ``names``; each alias
@@ -82,7 +87,12 @@ def person_mentions(queries: DataFrame, aliases: DataFrame, longest: int = 3, ma
     apart = lambda m, k: (m["at"] + m["size"] <= k["at"]) | (k["at"] + k["size"] <= m["at"])
     none = F.slice("all", F.lit(1), F.lit(0))
     kept = F.aggregate("all", none, lambda acc, m: F.when(F.forall(acc, lambda k: apart(m, k)), F.concat(acc, F.array(m))).otherwise(acc))
-    rows = (_looked_up(rows, held, longest) if len(held) <= max_aliases else _joined(rows, aliases, longest)).withColumn("kept", kept)
+    if len(held) <= max_aliases:
+        rows = _looked_up(rows, held, longest)
+    else:
+        hashes = aliases.select(F.xxhash64("alias").alias("hash")).limit(max_hashes + 1).toArrow()
+        rows = _hashed(rows, aliases, longest, hashes.column("hash").to_numpy()) if hashes.num_rows <= max_hashes else _joined(rows, aliases, longest)
+    rows = rows.withColumn("kept", kept)
     rows = rows.withColumn("candidates", F.coalesce(F.array_distinct(F.flatten(F.transform("kept", lambda m: m["names"]))), F.array().cast("array<string>")))
     person = F.when(F.size("candidates") == 1, F.col("candidates")[0])
     sure = F.filter("kept", lambda m: F.size(m["names"]) == 1)
@@ -90,6 +100,25 @@ def person_mentions(queries: DataFrame, aliases: DataFrame, longest: int = 3, ma
     return rows.select("query_id", "query", "text", F.array_sort("candidates").alias("candidates"), person.alias("person"), F.when(person.isNotNull(), F.array_join(hide, "")).otherwise(F.col("text")).alias("marked"))
 
 
+def _hashed(rows: DataFrame, aliases: DataFrame, longest: int, hashes: np.ndarray) -> DataFrame:
+    """``rows`` with ``all``: stretches of words whose hash is an alias's are joined with the aliases, which settles collisions; other rows don't move."""
+    held = rows.sparkSession.sparkContext.broadcast(np.unique(hashes))
+
+    def known(column: pa.Array) -> pa.Array:
+        sizes, flat = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(held.value, flat), len(held.value) - 1)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(held.value[at] == flat))
+
+    none = F.array().cast("array<struct<at:int,size:int,alias:string>>")
+    spots = F.when(F.size("parts") > 0, F.concat(*[_stretches(2 * n - 1) for n in range(1, longest + 1)])).otherwise(none)
+    rows = rows.withColumn("_spots", spots).withColumn("_known", F.arrow_udf(known, "array<boolean>")(F.transform("_spots", lambda s: F.xxhash64(s["alias"]))))
+    rows = rows.withColumn("_found", F.filter("_spots", lambda s, i: F.get("_known", i))).drop("_spots", "_known")
+    found = rows.where(F.size("_found") > 0).select("query_id", "query", "text", "parts", F.inline("_found")).join(aliases.select("alias", "names"), "alias", "left")
+    mention = F.when(F.col("names").isNotNull(), F.struct((-F.char_length("alias")).alias("less"), "alias", "at", "size", "names"))
+    listed = found.groupBy("query_id").agg(*[F.first(c).alias(c) for c in ("query", "text", "parts")], F.array_sort(F.collect_list(mention)).alias("all"))
+    return rows.where(F.size("_found") == 0).drop("_found").withColumn("all", F.array().cast(MENTIONS)).unionByName(listed)
+
+
 def _joined(rows: DataFrame, aliases: DataFrame, longest: int) -> DataFrame:
     """``rows`` with ``all``, by a join of their stretches of words with the aliases."""
     spots = rows.select("query_id", "parts", F.posexplode("parts").alias("at", "word")).where(F.col("word").rlike(f"^{W}"))

@@ -305,18 +305,33 @@ def test_store_encodes_only_new_texts(spark, tmp_path):
     assert io.extend_store(texts, path, "two", vector).count() == 4
 
 
-def test_mentions_by_look_up_and_by_join(spark):
-    """Both ways of finding people give the same rows, with overlapping, shared, repeated and no names, and null and empty questions."""
+def test_mentions_by_look_up_by_hashes_and_by_join(spark):
+    """All ways of finding people give the same rows, with overlapping, shared, repeated and no names, and null and empty questions."""
     people = spark.createDataFrame([(0, "Ann Lee"), (1, "Bob Lee"), (2, "Ann Marie Ray"), (3, "É Zoë")], "ord int, name string")
     asked = ["what did ann say", "Ann Lee, Bob Lee and ann marie ray", "Lee?", "  ", "", None, "ANN  LEE ann lee", "zoë's é zoë", "no one", "ray bob", "annlee ann-lee"]
     queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
     aliases = io.alias_dim(people)
-    one, two = (sorted(map(repr, annotate.person_mentions(queries, aliases, max_aliases=n).collect())) for n in (annotate.MAX_ALIASES, 2))
-    assert one == two and len(one) == len(asked)
+    ways = [{}, {"max_aliases": 2}, {"max_aliases": 2, "max_hashes": 2}]
+    one, two, three = (sorted(map(repr, annotate.person_mentions(queries, aliases, **way).collect())) for way in ways)
+    assert one == two == three and len(one) == len(asked)
     none = annotate.person_mentions(queries, aliases.limit(0)).collect()
     assert len(none) == len(asked) and all(r["person"] is None and list(r["candidates"]) == [] for r in none)
 
 
+def test_mentions_among_a_million_aliases(spark):
+    """Only what is among the aliases leaves its row: every third question names somebody, the others don't move."""
+    names = F.concat(F.lit("p"), F.col("id").cast("string"))
+    aliases = spark.range(1_000_000).select(names.alias("alias"), F.array(F.initcap(names)).alias("names"))
+    aliases = aliases.unionByName(spark.createDataFrame([("p7 p8", ["Both"])], "alias string, names array<string>"))
+    who = F.when(F.col("id") % 3 == 0, F.concat(F.lit("P"), (F.col("id") * 7919 % 1_000_000).cast("string"))).when(F.col("id") == 1, "p7 p8").otherwise("nobody of them")
+    queries = spark.range(3_000).select(F.col("id").alias("query_id"), F.concat(F.lit("what did "), who, F.lit(" say about p and p1000000")).alias("query"))
+    got = annotate.person_mentions(queries, aliases)
+    want = {i: f"P{i * 7919 % 1_000_000}" if i % 3 == 0 else "Both" if i == 1 else None for i in range(3_000)}
+    assert {r["query_id"]: r["person"] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "inline(_found" in plan and "posexplode" not in plan
+
+
 def test_dense_blocks_of_queries(spark, monkeypatch):
     """Queries are held a block at a time; the scores are those of one block."""
     rows = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(5)], "id string, vector array<double>")
