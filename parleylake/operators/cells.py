@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from parleylake.operators.dense import QUERY_BLOCK, dealt, in_blocks, matrix_of
+from parleylake.operators.dense import QUERY_BLOCK, dealt, in_blocks, matrix_of, vectors_of
 from parleylake.operators.lexical import best, check_k, top_k
 from parleylake.operators.pool import firsts
 from parleylake.operators.ranges import numbered
@@ -39,8 +39,7 @@ def fit_centres(rows: DataFrame, cells: int | None = None) -> np.ndarray:
     n = rows.count()
     cells = cells or max(1, min(MAX_CELLS, math.isqrt(n)))
     drawn = rows.select("vector") if n <= SAMPLE else rows.select("vector").sample(False, SAMPLE / n, SEED)
-    held = drawn.limit(2 * SAMPLE).toArrow().column("vector").to_pylist()
-    x = np.array(held, float).reshape(len(held), -1 if held else 0)
+    x = vectors_of(drawn.limit(2 * SAMPLE).toArrow().column("vector"))
     x = x[np.linalg.norm(x, axis=1) > 0]
     if not len(x):
         return np.zeros((1, x.shape[1]))
@@ -74,7 +73,7 @@ def cell_index(rows: DataFrame, write: Callable[[DataFrame], DataFrame], key: st
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                found = angles(np.array(part.column("vector").to_pylist(), float), held.value)
+                found = angles(vectors_of(part.column("vector")), held.value)
                 cell = found.argmin(1)
                 yield pa.RecordBatch.from_arrays([part.column(key), part.column("vector"), pa.array(cell.astype(np.int32)), pa.array(found[np.arange(len(cell)), cell])], [key, "vector", "_cell", "_angle"])
 
@@ -92,7 +91,7 @@ def _distances(batches: Iterator[pa.RecordBatch], matrix: np.ndarray) -> Iterato
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
             part = batch.slice(at, 2048)
-            a = angles(np.array(part.column("centre").to_pylist(), float), matrix)
+            a = angles(vectors_of(part.column("centre")), matrix)
             lo, hi = (part.column(c).to_numpy()[:, None] for c in ("lo", "hi"))
             yield part, a, np.maximum(np.maximum(a - hi, lo - a), 0.0)
 
@@ -143,7 +142,7 @@ def block_scores(queries: DataFrame, pairs: DataFrame, rows: DataFrame, k: int,
             return empty.empty_table()
         ids, matrix = matrix_of(asked)
         own = own.take(pc.sort_indices(own.column(key)))  # so that of equal scores the first row goes first
-        scores = np.clip(np.array(own.column("vector").to_pylist(), float) @ matrix.T, -1.0, 1.0)
+        scores = np.clip(vectors_of(own.column("vector")) @ matrix.T, -1.0, 1.0)
         at, of = np.nonzero(firsts(scores, k))
         return pa.table([pa.array(ids[of]), own.column(key).take(pa.array(at)), pa.array(scores[at, of])], ["query_id", key, "semantic"])
 

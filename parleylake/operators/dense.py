@@ -123,10 +123,18 @@ def in_blocks(queries: DataFrame, rows: DataFrame, key: str, work, schema: str)
     return theirs.groupBy("_block", "_chunk").cogroup(ours.groupBy("_block", "_chunk")).applyInArrow(meet, schema)
 
 
+def vectors_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors, all of one size and none null, as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = len(column)
+    if n and (column.null_count or np.ptp(column.value_lengths().to_numpy())):
+        raise ValueError("vectors that are null or of different sizes; normalize_vectors tells which")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1 if n else 0)
+
+
 def matrix_of(asked: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of queries."""
-    vectors = asked.column("vector").to_pylist()
-    return asked.column("query_id").to_numpy(), np.array(vectors, float).reshape(len(vectors), -1 if vectors else 0)
+    return asked.column("query_id").to_numpy(), vectors_of(asked.column("vector"))
 
 
 def products(batches: Iterator[pa.RecordBatch], block, key: str, channels: dict[str, str], low: float, high: float, keep: int | None) -> Iterator[pa.RecordBatch]:
@@ -137,7 +145,7 @@ def products(batches: Iterator[pa.RecordBatch], block, key: str, channels: dict[
             continue
         for lo in range(0, batch.num_rows, 2048):
             part = batch.slice(lo, 2048)
-            scores = [np.clip(np.array(part.column(vector).to_pylist(), float) @ matrix.T, low, high) for vector in channels.values()]
+            scores = [np.clip(vectors_of(part.column(vector)) @ matrix.T, low, high) for vector in channels.values()]
             at, of = best(scores[0], keep)
             yield pa.RecordBatch.from_arrays([pa.array(ids[of]), part.column(key).take(pa.array(at)), *(pa.array(s[at, of]) for s in scores)], ["query_id", key, *channels])
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parleylake.operators.dense import in_blocks
+from parleylake.operators.dense import in_blocks, vectors_of
 from parleylake.operators.lexical import QUERY_TERMS, SHARES
 from parleylake.operators.ranges import numbered
 
@@ -111,16 +111,12 @@ def _list(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, n
     return np.repeat(np.arange(len(sizes)), sizes), flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
 
 
-def _vectors(column) -> np.ndarray:
-    return np.array(column.to_pylist(), float)
-
-
 class _Asked:
     """A slice of questions as arrays."""
 
     def __init__(self, table: pa.Table):
         self.ids = table.column("query_id").to_numpy()
-        self.vectors = _vectors(table.column("vector"))
+        self.vectors = vectors_of(table.column("vector"))
         self.row, t, weight = _list(table.column("terms"))
         order = np.lexsort((self.row, t))
         self.row, self.weight = self.row[order], weight[order]
@@ -157,7 +153,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], asked: pa.Table, width: int,
         for lo in range(0, batch.num_rows, ROWS):
             part = batch.slice(lo, ROWS)
             part = part.take(pc.sort_indices(part.column(key)))  # so that of equal scores the first row goes first
-            own, around, lists = _vectors(part.column("own")), _vectors(part.column("around")), _list(part.column("terms"))
+            own, around, lists = vectors_of(part.column("own")), vectors_of(part.column("around")), _list(part.column("terms"))
             sender, type_, hour = (part.column(c).to_pandas().to_numpy() for c in ("sender", "own_type", "hour"))
             day = pd.to_datetime(part.column("day").to_pandas()).to_numpy("datetime64[D]")
             ids = part.column(key).to_pandas().to_numpy()
