@@ -279,6 +279,18 @@ def test_simhash_query(spark, sf):
     assert Counter(rows(simhash.op4_simhash_near_dedup(spark, sf))) == want
 
 
+def test_simhash_of_a_long_text():
+    """Bits are counted slice by slice: around a slice's size, over many of them, and with a shingle's share of exactly half."""
+    for n in (1, 4_095, 4_096, 4_097, 8_192, 30_011):
+        words = [f"w{i * 7919 % 10_007}" for i in range(n + 2)]
+        votes = np.zeros(64, int)
+        for i in range(n):
+            h = xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 42)
+            votes += [h >> b & 1 for b in range(64)]
+        want = sum(1 << b for b in range(64) if 2 * votes[b] > n)
+        assert simhash.fingerprint(" ".join(words)) & (2**64 - 1) == want
+
+
 def test_simhash_awkward_rows(spark):
     got = Counter((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in simhash.near_duplicates(documents(spark)).collect())
     prints = [(i, slow_print(t)) for i, t in TEXTS]
