@@ -9,6 +9,8 @@ No text is shuffled: one narrow row per document, and one per hit, reach the agg
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +90,38 @@ def _window_id() -> F.Column:
     return F.md5(F.array_join("w_words", " ")).alias("w_id")
 
 
+def _let(value: F.Column, body: Callable[[F.Column], F.Column]) -> F.Column:
+    """``body`` of ``value``, which is computed once and not for each element that a lambda looks at."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def merged_spans(spans: F.Column, n: int) -> F.Column:
+    """The runs of sorted, distinct ``spans`` (start, end) of at most ``n`` words that touch or overlap, in time linear in the spans.
+
+    With each start once, at its furthest end, what is more than ``n`` places before a span can't reach beyond the
+    spans between; so a span is held against the ends of ``n`` others, and so is the end of a run.
+    """
+    kind = "array<struct<start:int,end:int>>"
+
+    def runs(held: F.Column, ends: F.Column) -> F.Column:
+        fresh = lambda i: (i == 0) | (F.get(held, i)["start"] > F.array_max(F.slice(ends, F.greatest(i - n, F.lit(0)) + 1, F.least(F.greatest(i, F.lit(1)), F.lit(n)))))
+        begins = F.filter(F.sequence(F.lit(0), F.size(held) - 1), fresh)
+
+        def closed(begins: F.Column) -> F.Column:
+            def run(first: F.Column, j: F.Column) -> F.Column:
+                after = F.coalesce(F.get(begins, j + 1), F.size(held))
+                lo = F.greatest(first, after - n)
+                return F.struct(F.get(held, first)["start"].alias("start"), F.array_max(F.slice(ends, lo + 1, after - lo)).alias("end"))
+
+            return F.transform(begins, run)
+
+        return _let(begins, closed)
+
+    furthest = lambda all_: F.filter(all_, lambda x, i: F.coalesce(F.get(all_, i + 1)["start"] > x["start"], F.lit(True)))
+    whole = _let(spans, lambda all_: _let(furthest(all_), lambda held: _let(F.transform(held, lambda x: x["end"]), lambda ends: runs(held, ends))))
+    return F.when(F.size(spans) > 0, whole).otherwise(F.array()).cast(kind)
+
+
 def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """Per document: ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``, ``hit_spans``.
 
@@ -107,15 +141,7 @@ def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_
     found = sets.select("w_ids", F.explode("w_ids").alias("w_id")).join(named, "w_id").groupBy("w_ids").agg(F.array_sort(F.collect_set("w_item")).alias("found"))
     clean = per.where(F.size("w_ids") == 0).withColumn("found", F.array().cast("array<string>"))  # most rows: they don't move for the look-up
     per = per.where(F.size("w_ids") > 0).join(found, "w_ids").unionByName(clean)
-    merged = F.aggregate(
-        "spans",
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    per = per.withColumn("hit_spans", F.when(F.size("spans") > 0, merged).otherwise(F.array().cast("array<struct<start:int,end:int>>")))
+    per = per.withColumn("hit_spans", merged_spans(F.col("spans"), n))
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda acc, x: acc + (x["end"] - x["start"]))
     return per.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("found").cast("long").alias("n_items"),
