@@ -80,3 +80,19 @@ def test_index_gives_the_postings_of_flat_counts(spark, monkeypatch):
     assert [x[0] for x in lists(index)] == [x[0] for x in lists(lexical.weighted(own, idf, "id"))]
     plan = lexical.counts(rows, "id")._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan and "Generate" not in plan
+
+
+def test_a_profile_equals_exploded_n_grams(spark):
+    """Also for keys that stand twice, null and blank texts, and n-grams beyond ASCII."""
+    from pyspark.sql import functions as F
+
+    from parleylake.functions import text as T
+    from parleylake.operators import lexical
+
+    rows = [(1, "the budget the"), (1, "Écoles zwölf 👍 a"), (2, None), (3, " \n "), (4, "a"), (None, "x yz"), (None, "yz"), (5, "日本語 ﬁn \U0001f600￮"), (1, None)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    grams = docs.select("id", F.explode(T.char_terms(T.fold_accents(F.col("text")))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("c"))
+    want = grams.groupBy("id").agg(F.sum("c").alias("n"), F.count("*").alias("distinct_terms"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
+    got = lexical.char_profile(docs, "id")
+    assert got.columns == want.columns and got.count() == 4 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString()
