@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parleylake.functions import terms
-from parleylake.operators import dense, lexical, pool
+from parleylake.operators import dense, fuse, lexical, pool
 from parleylake.sources.lexical_store import LexicalStore
 from tests.core.test_pool import tables
 
@@ -88,3 +88,27 @@ def test_query_weights_leave_the_frequencies_where_they_are(spark):
     plain = lambda df: sorted((r["query_id"], r["channel"], r["term"], round(r["weight"], 9)) for r in df.collect())
     assert plain(found) == plain(want) and len(plain(found)) > 5
     assert "LeftSemi, BuildRight" in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_signals_made_at_once_equal_joined_ones(spark, monkeypatch, block):
+    """Null senders, hours and types, queries and messages without words or terms, broadcast and in blocks; no table of pairs is sorted or joined."""
+    monkeypatch.setattr(dense, "QUERY_BLOCK", block)
+    _, _, _, q = tables(spark, 1, 9)
+    draw = random.Random(8)
+    said = ["goa beach", "budget on monday", "", "night at goa", None]
+    messages = [(f"m{i:02d}", draw.choice(["ann", "bob", None]), draw.choice(["text", "image", None]), datetime.datetime(2026, 3, 1 + i % 20, i % 24) if i % 7 else None, draw.choice(said)) for i in range(40)]
+    m = spark.createDataFrame(messages, "id string, sender string, message_type string, ts timestamp, text string")
+    asks = spark.createDataFrame([(i, t) for i, t in enumerate(["goa", "monday night", "", "unknown", "beach", "on", "at goa", "budget", "the"])], "query_id long, query string")
+    index = lexical.Index(m)
+    weights = lexical.tfidf_query(asks, index.idf)
+    vectors = asks.select("query_id", dense.hashed_vector(F.col("query")).alias("vector"))
+    own = m.select("id", dense.hashed_vector(F.col("text")).alias("own"), dense.hashed_vector(F.upper("sender")).alias("around"))
+    pairs = dense.dense_channels(vectors, own, "id", "string", {"semantic": "own", "contextual": "around"}, 0.0, 1.0)
+    joined = fuse.hybrid_signals(pairs, lexical.lexical_score(weights, index), q, m, "UTC")
+    made = fuse.hybrid_signals((vectors, own), (weights, index), q, m, "UTC")
+    assert made.columns == joined.columns and made.dtypes == joined.dtypes
+    plain = lambda df: sorted((r[0], r[1], *[round(x, 9) for x in r[2:5]], *r[5:]) for r in df.collect())
+    assert plain(made) == plain(joined) and len(plain(made)) == 360
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id#" not in plan.split("MapInArrow")[0].split("FlatMapCoGroupsInArrow")[0]
